@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SPACES = r"[\x20\x09-\x0D]+"
-NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +22,23 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def split_words(c: Column, separators: str = SPACES) -> Column:
-    """Words of a text in order; a null text has none."""
-    return F.coalesce(
-        F.array_remove(F.split(c, separators), ""), F.array().cast("array<string>")
-    )
+def _no_empty(words: Column) -> Column:
+    return F.coalesce(F.array_remove(words, ""), F.array().cast("array<string>"))
+
+
+def space_words(c: Column) -> Column:
+    """Runs of other characters than space and \\t to \\r, in order; a null text has none.
+
+    Replacing bytes and splitting at one space needs no regular expression.
+    """
+    for space in "\t\n\x0b\f\r":
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return _no_empty(F.split(c, " "))
+
+
+def alnum_words(c: Column) -> Column:
+    """Runs of ASCII letters, digits and all characters beyond ASCII, case as it is."""
+    return _no_empty(F.split(c, NON_WORD))
 
 
 def text_key(c: Column) -> list[Column]:

@@ -1,9 +1,10 @@
 """Benchmark decontamination with a broadcast set of normalised n-grams.
 
 The benchmark's windows (10 words; a shorter item is one window) form a hash set
-that is broadcast.  Each document's windows are hashed inside its own row and
-probed as a stream, so no document window is ever shuffled; a hit is verified
-word by word before it counts.  Only hits travel, to be grouped by document.
+that is broadcast, along with each window's longest word.  Documents are scanned as
+a stream of words: where one is some window's longest word, the window around it is
+hashed, probed and, on a match, verified word by word.  No document window is ever
+shuffled; only hits travel, to be grouped by document.
 
 The set is broadcast while its words take at most `max_bytes`.  A larger set is
 cut by hash into slices of that size and the documents are scanned once per slice.
@@ -19,23 +20,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, ascii_lower, settle, split_words, text_key
+from .common import alnum_words, ascii_lower, settle, text_key
 
 KEY = ["doc_id", "_k1", "_k2"]
 
 
-def _window(words: Column, start: Column, length: Column | int) -> Column:
-    return F.slice(words, start, length)
-
-
 def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(win, len, h, h2, item): one row per item and distinct window."""
+    """(win, len, h, h2, anchor, offset, item): one row per item and distinct window.
+
+    anchor is the window's longest word, first of those, and offset its place from 0.
+    """
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"),
-        split_words(ascii_lower(F.col("text")), NON_WORD).alias("words"),
+        F.transform(alnum_words(F.col("text")), ascii_lower).alias("words"),
     ).where(F.size("words") > 0)
     items = items.withColumn("len", F.least(F.size("words"), F.lit(size)))
     wins = items.select(
@@ -44,55 +44,52 @@ def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.size("words") - F.col("len") + 1),
-                lambda i: _window(F.col("words"), i, F.col("len")),
+                lambda i: F.slice(F.col("words"), i, F.col("len")),
             )
-        ).alias("win"),
+        ).alias("_w"),
     )
+    ranked = F.transform("_w", lambda w, i: F.struct((-F.char_length(w)).alias("n"), i.alias("i"), w.alias("w")))
+    wins = wins.withColumn("_a", F.array_min(ranked)).withColumn("win", F.array_join("_w", " "))
     return wins.select(
-        "win", "len", "item", F.xxhash64("win").alias("h"), F.xxhash64(F.lit(1), "win").alias("h2")
-    ).distinct()
-
+        "win", "len", "item", F.xxhash64("win").alias("h"), F.xxhash64(F.lit(1), "win").alias("h2"),
+        F.col("_a.w").alias("anchor"), F.col("_a.i").alias("offset"),
+    ).distinct()
 
-def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row per document start and per verified hit: KEY, n_words, idx, pos, len, h, h2."""
-    words = F.col("words")
-    n = F.size(words)
 
-    def count(length: int) -> Column:
-        return F.greatest(n - length + 1, F.lit(0))
+def _scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per document (idx 0) and one per verified hit: KEY, n_words, idx, pos, len, wh, wh2.
 
-    hashes = [
-        F.when(
-            n >= length,
-            F.transform(
-                F.sequence(F.lit(1), n - length + 1),
-                lambda i, length=length: F.xxhash64(_window(words, i, length)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>"))
-        for length in lengths
-    ]
-    rows = docs.select(
-        "doc_id", *text_key(F.col("text")), split_words(ascii_lower(F.col("text")), NON_WORD).alias("words")
-    )
-    rows = rows.select(*KEY, "words", n.alias("n_words"), F.concat(*hashes).alias("hs"))
-    rows = rows.select(*KEY, "words", "n_words", F.posexplode_outer("hs").alias("idx", "h"))
-    # Windows of each length follow those of the length before it.
-    start = F.lit(0)
-    before = F.lit(0)
-    for length in lengths:
-        start = F.when(F.col("b_len") == length, before).otherwise(start)
-        before = before + count(length)
-    pos = F.col("idx") - start
-    matched = rows.join(
-        F.broadcast(windows.select(F.col("win").alias("b_win"), F.col("len").alias("b_len"), F.col("h").alias("wh"), F.col("h2").alias("wh2"))),
-        (F.col("h") == F.col("wh"))
+    A word that is some window's longest starts a probe: the window around it is
+    hashed and looked up in the n-gram set.  Any other window can't be in the set.
+    """
+    words = F.col("words")
+    rows = docs.select("doc_id", *text_key(F.col("text")), alnum_words(F.col("text")).alias("words"))
+    rows = rows.select(
+        *KEY, "words", F.size(words).alias("n_words"),
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("idx", "word"),
+    )
+    rows = rows.withColumn("wa", F.xxhash64(ascii_lower(F.col("word"))))
+    anchors = windows.select(F.xxhash64("anchor").alias("a"), "offset", "len").distinct()
+    # Of a window's start, the word before it has the number pos in `idx`.
+    pos = F.col("idx") - 1 - F.col("offset")
+    rows = rows.join(
+        F.broadcast(anchors),
+        (F.col("wa") == F.col("a"))
+        & F.col("word").isNotNull()
         & (pos >= 0)
-        & (F.slice(words, F.greatest(pos, F.lit(0)) + 1, F.col("b_len")) == F.col("b_win")),
+        & (pos + F.col("len") <= F.col("n_words")),
         "left",
+    ).where((F.col("idx") == 0) | F.col("a").isNotNull())
+    # A string from here on: carrying the words along would copy the document for each probe.
+    there = F.when(F.col("a").isNotNull(), ascii_lower(F.array_join(F.slice(words, pos + 1, F.col("len")), " ")))
+    rows = rows.select(*KEY, "n_words", "idx", pos.alias("pos"), "len", there.alias("there"))
+    rows = rows.withColumn("hash", F.xxhash64("there"))
+    grams = windows.select(F.col("win").alias("b_win"), F.col("h").alias("wh"), F.col("h2").alias("wh2"))
+    return (
+        rows.join(F.broadcast(grams), (F.col("hash") == F.col("wh")) & (F.col("there") == F.col("b_win")), "left")
+        .where((F.col("idx") == 0) | F.col("wh").isNotNull())
+        .select(*KEY, "n_words", "idx", "pos", "len", "wh", "wh2")
     )
-    return matched.where(
-        F.col("idx").isNull() | (F.col("idx") == 0) | F.col("wh").isNotNull()
-    ).select(*KEY, "n_words", "idx", pos.alias("pos"), F.col("b_len").alias("len"), "wh", "wh2")
 
 
 def find_hits(
@@ -103,19 +100,15 @@ def find_hits(
     spans are (pos, len, wh, wh2): first word (from 0) and length of each hit window.
     """
     by_item = settle(benchmark_windows(benchmark, size))
-    windows = by_item.select("win", "len", "h", "h2").distinct()
-    total, lengths = windows.agg(
-        F.sum(F.aggregate("win", F.lit(0), lambda a, w: a + F.octet_length(w) + 24)),
-        F.array_sort(F.collect_set("len")),  # at most `size` values
-    ).first()
-    lengths = lengths or [size]
+    windows = by_item.drop("item").distinct()
+    total = windows.agg(F.sum(F.octet_length("win") + 64)).first()[0]
     slices = max(1, -(-(total or 0) // max_bytes))
     scans = []
     for k in range(slices):
         part = windows if slices == 1 else windows.where(F.pmod("h", F.lit(slices)) == k)
-        scan = _scan(docs, part, lengths)
-        scans.append(scan if k == 0 else scan.where(F.col("wh").isNotNull()).withColumn("idx", F.lit(-1)))
-    first = F.col("idx").isNull() | (F.col("idx") == 0)
+        scan = _scan(docs, part)
+        scans.append(scan if k == 0 else scan.where(F.col("idx") > 0))
+    first = F.col("idx") == 0
     hit = F.when(
         F.col("wh").isNotNull(),
         F.struct(F.col("pos").cast("long").alias("pos"), F.col("len").cast("long").alias("len"), "wh", "wh2"),

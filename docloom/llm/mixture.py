@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, split_words
+from .common import settle, space_words
 
 #: Primes just below 2**31, multipliers of the block permutation.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
@@ -33,7 +33,7 @@ SRC = ["_no", "_src"]
 
 def document_sizes(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, size in words, and the seeded key that orders a source's documents."""
-    words = F.size(split_words(F.col("text"))).cast("long")
+    words = F.size(space_words(F.col("text"))).cast("long")
     key = F.md5(
         F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     )
