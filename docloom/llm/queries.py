@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixture
+from . import decontaminate, html_extract, langid, mixture, ngram_join, quality
 from .common import table
 
 
@@ -14,6 +14,22 @@ def op2_mixture(spark, sf_dir):
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixture)}
+def op4_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark, sf_dir):
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixture, op4_quality, op6_html, op7_ngram_join, op8_langid)}
 
 ORACLES: dict[str, str] = {}
