@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, mixture, ngram_join, quality
+from . import decontaminate, html_extract, langid, line_dedup, mixture, ngram_join, quality
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_ngram_join(spark, sf_dir):
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixture, op4_quality, op6_html, op7_ngram_join, op8_langid)}
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixture, op4_quality, op6_html, op7_ngram_join, op8_langid, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {}
