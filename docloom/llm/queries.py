@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, line_dedup, mixture, ngram_join, quality
-from .common import table
+import uuid
+
+from . import (
+    decontaminate,
+    html_extract,
+    langid,
+    licenses,
+    line_dedup,
+    mixture,
+    ngram_join,
+    quality,
+    token_rollup,
+    warc,
+)
+from .common import shared_dir, table
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -34,6 +47,33 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mixture, op4_quality, op6_html, op7_ngram_join, op8_langid, op10_line_dedup)}
+def op3_token_counts(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    return token_rollup.report(table(spark, sf_dir, "documents"), folder)
+
+
+def op5_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op9_licenses(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_mixture,
+        op3_token_counts,
+        op4_quality,
+        op5_warc,
+        op6_html,
+        op7_ngram_join,
+        op8_langid,
+        op9_licenses,
+        op10_line_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
