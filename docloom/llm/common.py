@@ -72,6 +72,17 @@ def text_key(c: Column) -> list[Column]:
     ]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns as a struct), doc_id, _k1, _k2: keyed rows whose columns can't clash with ours."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(own, F.col("doc_id"), *text_key(F.col("text")))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the packed rows, those in `new` replaced."""
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set only where unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, settle, text_key
+from .common import alnum_words, ascii_lower, packed, settle, text_key, unpacked
 
 KEY = ["doc_id", "_k1", "_k2"]
 
@@ -176,26 +176,29 @@ def remove_contaminated(
     separators that follow it; n_chars, if there, is counted anew.
     """
     bad = find_hits(docs, benchmark, size).where("contaminated")
-    keyed = docs.select("*", *text_key(F.col("text")))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEY]
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
     if mode == "document":
-        return keyed.alias("d").join(bad.alias("b"), on, "left_anti").select(*own)
+        return unpacked(packed(docs).alias("d").join(bad.alias("b"), on, "left_anti"), docs.columns)
     if mode != "span":
         raise ValueError(f"mode is 'document' or 'span', not {mode!r}")
-    word = r"[\x30-\x39A-Za-z\x{80}-\x{10FFFF}]+"
-    joined = keyed.alias("d").join(bad.select(*KEY, "spans").alias("b"), on, "left")
-    pieces = F.regexp_extract_all("d.text", F.lit(f"{word}|(?:(?!{word}).)+".replace("(?:", "(?s:")), F.lit(0))
-    joined = joined.withColumn("_p", F.when(F.col("b.spans").isNotNull(), pieces))
-    lead = F.when(F.element_at("_p", 1).rlike(f"^{word}"), 0).otherwise(1)
+    word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    other = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    joined = packed(docs).alias("d").join(bad.select(*KEY, "spans").alias("b"), on, "left").select("row", "spans")
+    pieces = F.regexp_extract_all("row.text", F.lit(f"{word}|{other}"), F.lit(0))
+    joined = joined.withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces))
+    # Words and separators alternate: two places for each word, and one for a lead.
+    lead = F.when(F.element_at("pieces", 1).rlike(f"^{word}"), 0).otherwise(1)
+    joined = joined.withColumn("lead", lead)
     kept = F.filter(
-        "_p",
-        lambda p, i: ~F.exists(
-            F.col("b.spans"),
-            lambda s: ((i - lead) >= s["pos"] * 2) & ((i - lead) < (s["pos"] + s["len"]) * 2),
+        "pieces",
+        lambda _, i: ~F.exists(
+            "spans",
+            lambda s: (i - F.col("lead") >= s["pos"] * 2) & (i - F.col("lead") < (s["pos"] + s["len"]) * 2),
         ),
     )
-    text = F.when(F.col("b.spans").isNull(), F.col("d.text")).otherwise(F.array_join(kept, ""))
-    out = joined.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("b.spans").isNull(), F.col("d.n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns))
+    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(count)
+    return unpacked(out, docs.columns, **new)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked
+
 BITS = 12
 PIECE = 1 << 20
 #: Multipliers of the three gram hashes (odd, fixed values).
@@ -184,15 +186,14 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = 4000, **options) -> Mo
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with _lang, _score and _rejected added."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    """row (the columns of `docs` as a struct), lang, score, rejected."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if model is None:
-        return docs.withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0), "_rejected": F.lit(True)})
-
-    guess_udf = F.arrow_udf(lambda text: _guess(text, model), "struct<lang:string,score:double>")
-    found = docs.withColumn("_g", guess_udf(F.when(letters, F.col("text"))))
-    found = found.withColumns({"_lang": F.col("_g.lang"), "_score": F.col("_g.score")}).drop("_g")
-    return found.withColumn("_rejected", (F.col("_lang") == "und") | (F.col("_score") < model.threshold))
+        return own.select("row", F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    guess = F.arrow_udf(lambda text: _guess(text, model), "struct<lang:string,score:double>")
+    letters = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
+    found = own.withColumn("g", guess(F.when(letters, F.col("row.text")))).select("row", "g.lang", "g.score")
+    return found.withColumn("rejected", (F.col("lang") == "und") | (F.col("score") < model.threshold))
 
 
 def _guess(text: pa.Array, model: Model) -> pa.Array:
@@ -204,19 +205,21 @@ def _guess(text: pa.Array, model: Model) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.where(known, p.max(1), 0.0))], ["lang", "score"])
 
 
-def in_fold(fold: int = 2, of: int = 4) -> Column:
+def in_fold(fold: int = 2, of: int = 4, doc_id: Column | None = None) -> Column:
     """Whether a row is held out: crc32 of the id as text (null: the empty text)."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of == fold
+    doc_id = F.col("doc_id") if doc_id is None else doc_id
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of == fold
 
 
 def report(docs: DataFrame, train_rows: int = 4000) -> DataFrame:
     """The contract's columns."""
     model = fit(docs, ~in_fold(), train_rows)
     found = predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", in_fold().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    fold = in_fold(doc_id=F.col("row.doc_id"))
+    return found.select("row.doc_id", fold.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, train_rows: int = 4000) -> DataFrame:
     """`docs` without the documents whose language is rejected; the same columns."""
     model = fit(docs, ~in_fold(), train_rows)
-    return predict(docs, model).where(~F.col("_rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(predict(docs, model).where(~F.col("rejected")), docs.columns)

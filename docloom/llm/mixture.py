@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
     s = s.withColumn("_full", F.col("_cap") * (F.col("_w") - F.col("_w0")) <= (F.col("_t") - F.col("_c0")) * F.col("w"))
     full = [F.coalesce(F.sum(F.when(F.col("_full"), F.col(c))).over(every), F.lit(0)) for c in ("_cap", "w")]
     s = s.withColumn("_fc", full[0]).withColumn("_fw", full[1])
-    level = (F.col("_t") - F.col("_fc")) / (F.col("_w") - F.col("_fw"))
+    level = F.try_divide(F.col("_t") - F.col("_fc"), F.col("_w") - F.col("_fw"))
     target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(level * F.col("w"))
     return s.select(*SRC, "source_size", target.alias("target"), F.col("_t").alias("total"))
 
@@ -71,11 +71,11 @@ def quotas(targets: DataFrame, block: int = 64, cap: int = 3, blocks: Column | N
     """
     every = Window.partitionBy()
     k = blocks if blocks is not None else F.when(F.col("total") > 0, F.greatest(F.floor(F.col("total") / block), F.lit(1))).otherwise(0)
-    t = targets.withColumn("_k", k).withColumn("_d", F.sum("target").over(every) / F.col("_k"))
-    q0 = F.when(F.col("_k") > 0, F.floor(F.col("target") / F.col("_d") + 0.5)).otherwise(0).cast("long")
+    t = targets.withColumn("_k", k).withColumn("_d", F.try_divide(F.sum("target").over(every), F.col("_k")))
+    q0 = F.when(F.col("_k") > 0, F.coalesce(F.floor(F.try_divide("target", "_d") + 0.5), F.lit(0))).otherwise(0).cast("long")
     t = t.withColumn("_q", q0).withColumn("_gap", F.col("_k") - F.sum("_q").over(every))
     # No source gains or loses more than its share of 1.5 blocks a source, and one.
-    reach = F.ceil(1.5 * F.count(F.lit(1)).over(every) * F.col("target") / F.sum("target").over(every)).cast("long") + 2
+    reach = F.ceil(F.try_divide(1.5 * F.count(F.lit(1)).over(every) * F.col("target"), F.sum("target").over(every))).cast("long") + 2
     t = t.withColumn("_reach", F.when(F.col("_gap") == 0, 0).otherwise(F.coalesce(reach, F.lit(0))))
     grown = t.where("_gap > 0 and target > 0").select("*", F.explode(F.sequence(F.col("_q"), F.col("_q") + F.col("_reach"))).alias("_j"))
     shrunk = t.where("_gap < 0 and _q > 0").select(

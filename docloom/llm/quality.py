@@ -164,5 +164,6 @@ def judge(
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns."""
     return judge(docs, labels).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by"),
     )

@@ -17,6 +17,7 @@ from . import (
     warc,
 )
 from .common import shared_dir, table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -75,5 +76,3 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-
-ORACLES: dict[str, str] = {}
