@@ -12,8 +12,10 @@ of those prefixes deal the points to blocks, and each block has its own tree.  T
 order puts frequent shingles last (they are counted in all documents; the order
 decides on cost alone, not on results), so common passages form no blocks.
 
-Groups of copies: equal sets are one point.  In each block, points are first
-compared with its least point only, and verified links merge points into clusters
+Groups of copies: equal sets are one point, and blocks of the same members are one
+block.  The trees first tell which points have any possible partner; texts of the
+others aren't looked at again.  In each block, points are then compared with its
+least point only, and verified links merge points into clusters
 (twice).  The trees then look for pairs of different clusters, so a group of
 thousands of near copies costs about one comparison a member, not one a pair.
 Every link between two different components is found: a pair not compared is one
@@ -37,7 +39,9 @@ from .common import settle, text_key
 from .components import components
 from .shingles import sets_of
 
-GROUPS = 64
+GROUPS = 512
+#: A count of this or more is stored as this and read as beyond any other.
+MANY = 255
 LEAF = 16
 #: Shingles whose rank is kept, the most frequent (a bound for the broadcast).
 MAX_FREQUENT = 1 << 16
@@ -89,7 +93,7 @@ def points(docs: DataFrame, frequent: np.ndarray, percent: int = 80, size: int =
             for s in sets_of(batch.column(3), size):
                 n = len(s)
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                vec = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535)
+                vec = np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), MANY)
                 take = n - (percent * n + 99) // 100 + 1 if n else 0
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -98,7 +102,7 @@ def points(docs: DataFrame, frequent: np.ndarray, percent: int = 80, size: int =
                 cols["n"].append(n)
                 cols["f1"].append(digest[0])
                 cols["f2"].append(digest[1])
-                cols["vec"].append(vec.astype(np.uint16).tobytes())
+                cols["vec"].append(vec.astype(np.uint8).tobytes())
                 cols["prefix"].append(s[:take].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -114,38 +118,62 @@ def points(docs: DataFrame, frequent: np.ndarray, percent: int = 80, size: int =
     )
 
 
+def _counts(vecs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Count vectors; where a count was cut, the size of the set, which none exceeds."""
+    c = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), GROUPS).astype(np.int32)
+    return np.where(c == MANY, sizes[:, None].astype(np.int32), c)
+
+
 class RTree:
-    """A packed R-tree over count vectors, in order of size and then of the coordinates."""
+    """A packed R-tree over count vectors, in order of size and then of the coordinates.
+
+    levels: from the points up, of every node the greatest coordinates and the least
+    and greatest size of a set below it.
+    """
 
     def __init__(self, vecs: np.ndarray, sizes: np.ndarray):
-        spread = np.argsort(-vecs.var(0))[:4] if len(vecs) else np.arange(4)
+        spread = np.argsort(-vecs.var(0))[:4] if len(vecs) > LEAF else np.zeros(0, np.int64)
         band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25))
         self.rows = np.lexsort([*(vecs[:, k] for k in spread[::-1]), band])
-        self.vecs, self.sizes = vecs[self.rows], sizes[self.rows]
-        top, low, high = self.vecs, self.sizes, self.sizes
-        self.levels = []
-        while True:
+        kind = np.int16 if sizes.max(initial=0) < 1 << 15 else np.int32
+        top, low, high = vecs[self.rows].astype(kind), sizes[self.rows], sizes[self.rows]
+        self.levels = [(top, low, high)]
+        while len(top) > 1:
             cuts = np.arange(0, len(top), LEAF)
             top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
             self.levels.append((top, low, high))
-            if len(cuts) <= 1:
-                return
 
-    def search(self, vec: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Rows whose set could have a Jaccard similarity of `percent` with the one given."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for top, low, high in reversed(self.levels):
-            nodes = nodes[nodes < len(top)]
-            fits = (100 * high[nodes] >= percent * size) & (100 * size >= percent * low[nodes])
-            nodes = nodes[fits]
-            both = np.minimum(top[nodes], vec).sum(1)
-            # At best the partner is as small as its share of the overlap allows.
-            least = np.maximum(low[nodes], both)
-            nodes = nodes[(100 + percent) * both >= percent * (size + least)]
-            nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        nodes = nodes[nodes < len(self.rows)]
-        both = np.minimum(self.vecs[nodes], vec).sum(1)
-        return self.rows[nodes[(100 + percent) * both >= percent * (size + self.sizes[nodes])]]
+
+def search(a: RTree, b: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of two trees whose sets could have a Jaccard similarity of `percent`.
+
+    Both trees are walked down together; a pair of nodes is followed while the summed
+    minima of their coordinates allow the overlap that their sizes ask for.
+    """
+    depth = max(len(a.levels), len(b.levels))
+    i = j = np.zeros(1, np.int64)
+    for level in range(depth - 1, -1, -1):
+        sides = []
+        for tree, nodes in ((a, i), (b, j)):
+            own = min(level, len(tree.levels) - 1)
+            sides.append((tree.levels[own], nodes, own == level and level < len(tree.levels) - 1))
+        if level < depth - 1:  # from the nodes above to their children
+            k = np.arange(LEAF)
+            down_a, down_b = (k if s[2] else k[:1] for s in sides)
+            i = np.repeat(i * (LEAF if sides[0][2] else 1), len(down_a) * len(down_b)) + np.tile(np.repeat(down_a, len(down_b)), len(i))
+            j = np.repeat(j * (LEAF if sides[1][2] else 1), len(down_a) * len(down_b)) + np.tile(np.tile(down_b, len(down_a)), len(j))
+        (top_a, low_a, high_a), (top_b, low_b, high_b) = sides[0][0], sides[1][0]
+        there = (i < len(top_a)) & (j < len(top_b))
+        i, j = i[there], j[there]
+        fits = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
+        i, j = i[fits], j[fits]
+        both = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), 4096):
+            run = slice(at, at + 4096)
+            both[run] = np.minimum(top_a[i[run]], top_b[j[run]]).sum(1, dtype=np.int64)
+        fits = (100 + percent) * both >= percent * (low_a[i] + low_b[j])
+        i, j = i[fits], j[fits]
+    return a.rows[i], b.rows[j]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,40 +201,47 @@ def _to_least(blocks: DataFrame, percent: int) -> DataFrame:
     return met.select((-F.col("m.a")).alias("a"), F.col("node").alias("b"))
 
 
-def _by_trees(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different clusters that the R-trees of the blocks let through."""
-    mixed = blocks.groupBy("h").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
+def _once(blocks: DataFrame, value: str) -> DataFrame:
+    """The blocks in which `value` differs, those of the same members once, with their size m."""
+    seen = blocks.groupBy("h").agg(
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("m"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("sig2"),
     )
-    # Blocks of the same members are searched once.
-    mixed = mixed.where("lo <> hi").groupBy("m", "sig", "sig2").agg(F.min("h").alias("h"))
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    b = blocks.join(mixed.select("h", tiles.alias("tiles")), "h").join(vectors, "node")
+    seen = seen.where("lo <> hi").groupBy("m", "sig", "sig2").agg(F.min("h").alias("h"))
+    return blocks.join(seen.select("h", "m"), "h")
+
+
+def _search(blocks: DataFrame, vectors: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """What the R-trees of the blocks let through, each searched for partners of another root.
+
+    pairs: (a, b); otherwise only (h, node, n) of the points that have some partner.
+    """
     # A large block is dealt to pairs of tiles; each task sees two tiles at most.
+    b = blocks.join(vectors, "node").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     b = b.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     b = b.select("h", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "node", "root", "n", "vec")
 
-    def search(table: pa.Table) -> pa.Table:
+    def look(table: pa.Table) -> pa.Table:
         node, root, n, tile = (table.column(c).to_numpy() for c in ("node", "root", "n", "tile"))
-        vecs = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.uint16).reshape(len(node), GROUPS).astype(np.int32)
+        vecs = _counts(table.column("vec").to_pylist(), n)
         first, last = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
         inner, outer = np.flatnonzero(tile == first), np.flatnonzero(tile == last)
-        a, b = [], []
-        if len(inner) and len(np.unique(root)) > 1:
+        a = b = np.zeros(0, np.int64)
+        if len(inner) and len(outer) and len(np.unique(root)) > 1:
             tree = RTree(vecs[inner], n[inner])
-            for i in outer:
-                near = inner[tree.search(vecs[i], int(n[i]), percent)]
-                near = near[root[near] != root[i]]
-                if first == last:
-                    near = near[node[near] < node[i]]
-                a.append(np.minimum(node[near], node[i]))
-                b.append(np.maximum(node[near], node[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            other = tree if first == last else RTree(vecs[outer], n[outer])
+            a, b = search(tree, other, percent)
+            a, b = inner[a], outer[b]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        if not pairs:
+            return table.select(["h", "node", "n"]).take(pa.array(np.unique(np.concatenate([a, b]))))
+        a, b = node[a], node[b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return b.groupBy("h", "t1", "t2").applyInArrow(search, "a bigint, b bigint").distinct()
+    kind = "a bigint, b bigint" if pairs else "h bigint, node bigint, n bigint"
+    return b.groupBy("h", "t1", "t2").applyInArrow(look, kind).distinct()
 
 
 def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -218,9 +253,11 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     posts = pts.where("n > 0").select("node", "n", F.explode("prefix").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     blocks = posts.join(shared.hint("shuffle_hash"), "h")
-    blocks = blocks.join(named.select("node", "rep"), "node").select("h", F.col("rep").alias("node"), "n").distinct()
-    alone = blocks.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
-    blocks = settle(blocks.join(alone, "h"))
+    blocks = settle(blocks.join(named.select("node", "rep"), "node").select("h", F.col("rep").alias("node"), "n").distinct())
+    # Most blocks are of the same few documents, which share a line, and most of
+    # those documents are too different: the trees leave what has a possible partner.
+    blocks = _once(blocks, "node").withColumn("root", F.col("node"))
+    blocks = settle(_search(blocks, pts.select("node", "vec"), percent, pairs=False))
 
     wanted = blocks.select("node").distinct().join(named.where("node = rep").select("node", "doc_id", "_k1", "_k2"), "node")
     wanted = settle(wanted)
@@ -242,8 +279,8 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         met = _verified(_to_least(_labelled(blocks, roots), percent), sets, percent)
         links = settle(met if links is None else links.unionByName(met).distinct())
         roots = components(links)
-    vectors = pts.select("node", "vec").join(blocks.select("node").distinct(), "node")
-    met = _verified(_by_trees(_labelled(blocks, roots), vectors, percent), sets, percent)
+    mixed = _once(_labelled(blocks, roots), "root")
+    met = _verified(_search(mixed, pts.select("node", "vec"), percent, pairs=True), sets, percent)
     roots = settle(components(links.unionByName(met)))
 
     # Clusters of different sets, then the least id of any member.
