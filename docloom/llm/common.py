@@ -93,7 +93,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder, so that a lost executor costs no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into the shared folder, so that a lost executor costs no rerun.
+
+    The shuffles that led there are removed at once; nothing reads them again.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
