@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_key
+from .common import packed, settle, text_key, unpacked
 from .components import components
 from .shingles import sets_of
 
@@ -127,25 +127,29 @@ def _counts(vecs: list[bytes], sizes: np.ndarray) -> np.ndarray:
 class RTree:
     """A packed R-tree over count vectors, in order of size and then of the coordinates.
 
-    levels: from the points up, of every node the greatest coordinates and the least
-    and greatest size of a set below it.
+    levels: from the points up, of every node the greatest coordinates, the least and
+    greatest size of a set below it, and the least and greatest root.  Points of a
+    root that would fill a leaf come together.
     """
 
-    def __init__(self, vecs: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vecs: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
         spread = np.argsort(-vecs.var(0))[:4] if len(vecs) > LEAF else np.zeros(0, np.int64)
         band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25))
-        self.rows = np.lexsort([*(vecs[:, k] for k in spread[::-1]), band])
+        _, of, n = np.unique(roots, return_inverse=True, return_counts=True)
+        crowd = np.where(n[of] >= LEAF, of, -1)
+        self.rows = np.lexsort([*(vecs[:, k] for k in spread[::-1]), band, crowd])
         kind = np.int16 if sizes.max(initial=0) < 1 << 15 else np.int32
-        top, low, high = vecs[self.rows].astype(kind), sizes[self.rows], sizes[self.rows]
-        self.levels = [(top, low, high)]
-        while len(top) > 1:
-            cuts = np.arange(0, len(top), LEAF)
-            top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            self.levels.append((top, low, high))
+        top, size, root = vecs[self.rows].astype(kind), sizes[self.rows], roots[self.rows]
+        level = (top, size, size, root, root)
+        self.levels = [level]
+        while len(level[0]) > 1:
+            cuts = np.arange(0, len(level[0]), LEAF)
+            level = tuple(f.reduceat(x, cuts) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), level))
+            self.levels.append(level)
 
 
 def search(a: RTree, b: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of two trees whose sets could have a Jaccard similarity of `percent`.
+    """Pairs of points of different roots whose sets could have a Jaccard similarity of `percent`.
 
     Both trees are walked down together; a pair of nodes is followed while the summed
     minima of their coordinates allow the overlap that their sizes ask for.
@@ -162,10 +166,11 @@ def search(a: RTree, b: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
             down_a, down_b = (k if s[2] else k[:1] for s in sides)
             i = np.repeat(i * (LEAF if sides[0][2] else 1), len(down_a) * len(down_b)) + np.tile(np.repeat(down_a, len(down_b)), len(i))
             j = np.repeat(j * (LEAF if sides[1][2] else 1), len(down_a) * len(down_b)) + np.tile(np.tile(down_b, len(down_a)), len(j))
-        (top_a, low_a, high_a), (top_b, low_b, high_b) = sides[0][0], sides[1][0]
+        (top_a, low_a, high_a, first_a, last_a), (top_b, low_b, high_b, first_b, last_b) = sides[0][0], sides[1][0]
         there = (i < len(top_a)) & (j < len(top_b))
         i, j = i[there], j[there]
         fits = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
+        fits &= (first_a[i] != last_b[j]) | (last_a[i] != first_b[j])
         i, j = i[fits], j[fits]
         both = np.zeros(len(i), np.int64)
         for at in range(0, len(i), 4096):
@@ -211,37 +216,89 @@ def _once(blocks: DataFrame, value: str) -> DataFrame:
     return blocks.join(seen.select("h", "m"), "h")
 
 
-def _search(blocks: DataFrame, vectors: DataFrame, percent: int, pairs: bool) -> DataFrame:
-    """What the R-trees of the blocks let through, each searched for partners of another root.
+def _close(vecs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which points have a possible partner; all are of different roots.
 
-    pairs: (a, b); otherwise only (h, node, n) of the points that have some partner.
+    Neighbours in the order of a tree are tried first: in a group of copies that
+    settles nearly all, and only the rest is searched for.
     """
-    # A large block is dealt to pairs of tiles; each task sees two tiles at most.
+    tree = RTree(vecs, sizes, np.arange(len(sizes)))
+    live = np.zeros(len(sizes), bool)
+    for at in range(0, len(sizes), LEAF):
+        near = tree.rows[at : at + LEAF]
+        both = np.minimum(vecs[near, None], vecs[None, near]).sum(2)
+        fits = (100 + percent) * both >= percent * (sizes[near, None] + sizes[None, near])
+        np.fill_diagonal(fits, False)
+        live[near] = fits.any(1)
+    rest = np.flatnonzero(~live)
+    if len(rest) and len(sizes) > LEAF:
+        a, b = search(RTree(vecs[rest], sizes[rest], rest), tree, percent)
+        live[rest[a]] = live[b] = True
+    return live
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+    return node, root, n, _counts(table.column("vec").to_pylist(), n)
+
+
+def _tiled(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Large blocks are dealt to tiles."""
     b = blocks.join(vectors, "node").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     b = b.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    b = b.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return b.select("h", "tiles", "tile", "node", "root", "n", "vec")
+
+
+def _possible(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """(h, node, n) of the points of blocks (each its own root) that have a possible partner."""
+    b = _tiled(blocks, vectors)
+    kind = "h bigint, tiles int, node bigint, n bigint, live boolean"
+
+    def within(table: pa.Table) -> pa.Table:
+        _, _, n, vecs = _arrays(table)
+        live = pa.array(_close(vecs, n, percent) if len(n) > 1 else np.zeros(len(n), bool))
+        return table.select(["h", "tiles", "node", "n"]).append_column("live", live)
+
+    told = settle(b.groupBy("h", "tile").applyInArrow(within, kind))
+    # What has no partner in its tile is looked up in the other tiles.
+    rest = told.where("not live and tiles > 1").select("h", "node").join(b, ["h", "node"])
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
+    # Columns of their own, as both sides come from the same rows.
+    rest = rest.select(*(F.col(c).alias(a) for c, a in zip(("h", "other", "node", "root", "n", "vec"), ("h", "tile", "node", "root", "n", "vec"))))
+
+    def across(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return asked.select(["h", "node", "n"]).slice(0, 0)
+        (_, root, n, vecs), (_, root2, n2, vecs2) = _arrays(asked), _arrays(there)
+        i, j = search(RTree(vecs, n, root), RTree(vecs2, n2, root2), percent)
+        a, b = asked.take(pa.array(np.unique(i))), there.take(pa.array(np.unique(j)))
+        return pa.concat_tables([x.select(["h", "node", "n"]) for x in (a, b)])
+
+    tiles = b.where("tiles > 1").select("h", "tile", "node", "root", "n", "vec")
+    far = rest.groupBy("h", "tile").cogroup(tiles.groupBy("h", "tile")).applyInArrow(across, "h bigint, node bigint, n bigint")
+    return told.where("live").select("h", "node", "n").unionByName(far).distinct()
+
+
+def _search(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of points of different roots that the R-trees of the blocks let through."""
+    # Each task sees two tiles at most.
+    b = _tiled(blocks, vectors).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     b = b.select("h", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "node", "root", "n", "vec")
 
     def look(table: pa.Table) -> pa.Table:
-        node, root, n, tile = (table.column(c).to_numpy() for c in ("node", "root", "n", "tile"))
-        vecs = _counts(table.column("vec").to_pylist(), n)
+        node, root, n, vecs = _arrays(table)
+        tile = table.column("tile").to_numpy()
         first, last = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
         inner, outer = np.flatnonzero(tile == first), np.flatnonzero(tile == last)
         a = b = np.zeros(0, np.int64)
         if len(inner) and len(outer) and len(np.unique(root)) > 1:
-            tree = RTree(vecs[inner], n[inner])
-            other = tree if first == last else RTree(vecs[outer], n[outer])
+            tree = RTree(vecs[inner], n[inner], root[inner])
+            other = tree if first == last else RTree(vecs[outer], n[outer], root[outer])
             a, b = search(tree, other, percent)
-            a, b = inner[a], outer[b]
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-        if not pairs:
-            return table.select(["h", "node", "n"]).take(pa.array(np.unique(np.concatenate([a, b]))))
-        a, b = node[a], node[b]
+            a, b = node[inner[a]], node[outer[b]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    kind = "a bigint, b bigint" if pairs else "h bigint, node bigint, n bigint"
-    return b.groupBy("h", "t1", "t2").applyInArrow(look, kind).distinct()
+    return b.groupBy("h", "t1", "t2").applyInArrow(look, "a bigint, b bigint").distinct()
 
 
 def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -250,14 +307,14 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     # Equal sets are one node, the least.
     same = pts.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"))
     named = settle(pts.where("n > 0").select("doc_id", "_k1", "_k2", "n", "node", "f1", "f2").join(same, ["f1", "f2"]))
-    posts = pts.where("n > 0").select("node", "n", F.explode("prefix").alias("h"))
+    posts = pts.where("n > 0").select("node", F.explode("prefix").alias("h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     blocks = posts.join(shared.hint("shuffle_hash"), "h")
-    blocks = settle(blocks.join(named.select("node", "rep"), "node").select("h", F.col("rep").alias("node"), "n").distinct())
+    blocks = settle(blocks.join(named.select("node", "rep", "n"), "node").select("h", F.col("rep").alias("node"), "n").distinct())
     # Most blocks are of the same few documents, which share a line, and most of
     # those documents are too different: the trees leave what has a possible partner.
     blocks = _once(blocks, "node").withColumn("root", F.col("node"))
-    blocks = settle(_search(blocks, pts.select("node", "vec"), percent, pairs=False))
+    blocks = settle(_possible(blocks, pts.select("node", "vec"), percent))
 
     wanted = blocks.select("node").distinct().join(named.where("node = rep").select("node", "doc_id", "_k1", "_k2"), "node")
     wanted = settle(wanted)
@@ -280,7 +337,7 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         links = settle(met if links is None else links.unionByName(met).distinct())
         roots = components(links)
     mixed = _once(_labelled(blocks, roots), "root")
-    met = _verified(_search(mixed, pts.select("node", "vec"), percent, pairs=True), sets, percent)
+    met = _verified(_search(mixed, pts.select("node", "vec"), percent), sets, percent)
     roots = settle(components(links.unionByName(met)))
 
     # Clusters of different sets, then the least id of any member.
@@ -307,7 +364,6 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = join_components(docs, percent)
     kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "_k1", "_k2").distinct()
-    keyed = docs.select("*", *text_key(F.col("text"))).alias("d")
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("doc_id", "_k1", "_k2")]
-    own = keyed.join(kept.alias("k"), on, "left_semi")
-    return own.dropDuplicates(["doc_id", "_k1", "_k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = packed(docs).alias("d").join(kept.alias("k"), on, "left_semi")
+    return unpacked(own.dropDuplicates(["doc_id", "_k1", "_k2"]), docs.columns)
