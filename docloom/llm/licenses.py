@@ -162,6 +162,47 @@ class Scanner:
             last = min(end, p + 2 * size)
             yield start, last
 
+    def _aligned(self, words: list[bytes], start: int, end: int, template: list[bytes]) -> tuple[float, int, int] | None:
+        """(coverage, first word, last word) of the template in a span."""
+        pairs = align(words[start:end], template)
+        # Words strewn over a wide stretch of text are no notice.
+        near = [p for p in pairs if abs((p[0] - pairs[len(pairs) // 2][0]) - (p[1] - pairs[len(pairs) // 2][1])) <= self._drift(template)]
+        return (len(near) / len(template), start + near[0][0], start + near[-1][0]) if near else None
+
+    @staticmethod
+    def _drift(template: list[bytes]) -> int:
+        return max(3, len(template) // 2)
+
+    def _single(self, words: list[bytes], start: int, end: int, name: str, share: float):
+        """What spans of about one template length have, where the window bears more than the share."""
+        template = self.templates[name]
+        size, of = len(template), Counter(template)
+
+        def borne(a: int, b: int) -> int:
+            held = Counter(words[a:b])
+            return sum(min(n, held[w]) for w, n in of.items())
+
+        def enough(n: int) -> bool:
+            return n > share * size and n >= self.threshold * size
+
+        if not enough(borne(start, end)):
+            return
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for j, w in enumerate(template):
+            if name in self.seeds.get(w, ()):
+                at[w].append(j)
+        begins = Counter(i - j for i in range(start, end) for j in at.get(words[i], ()))
+        # Where most words agree first; wider spans hold copies with words put in.
+        drifts = sorted({0, size // 8, size // 4, self._drift(template)})
+        for begin, _ in sorted(begins.items(), key=lambda x: (-x[1], x[0])):
+            for d in drifts:
+                a, b = max(start, begin - d), min(end, begin + size + d)
+                if enough(borne(a, b)) and (found := self._aligned(words, a, b, template)):
+                    yield found
+                    share = max(share, found[0])
+            if share >= 1:
+                return
+
     def scan(self, text: bytes) -> list[tuple[float, str, int, int]]:
         """(coverage, license, first word, last word) of all licenses found, best first."""
         if not self.any.search(text.lower()):
@@ -175,12 +216,10 @@ class Scanner:
         for name, at in places.items():
             template, best = self.templates[name], None
             for start, end in self._windows(at, len(template), len(words)):
-                pairs = align(words[start:end], template)
-                # Words strewn over a wide stretch of text are no notice.
-                near = [p for p in pairs if abs((p[0] - pairs[len(pairs) // 2][0]) - (p[1] - pairs[len(pairs) // 2][1])) <= max(3, len(template) // 2)]
-                share = len(near) / len(template)
-                if near and (best is None or share > best[0]):
-                    best = (share, start + near[0][0], start + near[-1][0])
+                whole = self._aligned(words, start, end, template)
+                for found in (whole, *self._single(words, start, end, name, whole[0] if whole else 0)):
+                    if found and (best is None or found[0] > best[0]):
+                        best = found
             if best and best[0] >= self.threshold:
                 out.append((best[0], name, best[1], best[2]))
         return sorted(out, key=lambda x: (-x[0], -len(self.templates[x[1]]), x[1]))

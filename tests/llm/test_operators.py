@@ -241,6 +241,18 @@ def test_licenses(spark, corpus, empty):
     assert licenses.report(corpus).count() == corpus.count() and licenses.report(empty).count() == 0
 
 
+def test_repeated_licenses_inside_a_text():
+    scanner, filler = licenses.Scanner(), " ".join(f"filler{k}" for k in range(400))
+    mit = licenses.TEMPLATES["MIT"]
+    spread = " x ".join(" ".join(mit.split()[k : k + 9]) for k in range(0, 200, 9))
+    for name, copy in (("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0.\n"), ("MIT", mit), ("MIT", mit.replace("sublicense", "relicense")), ("MIT", spread)):
+        for n in (1, 2, 3, 7):
+            for between in (" ", " file two begins "):
+                found = scanner.scan(f"{filler} {between.join([copy] * n)} {filler}".encode())
+                assert found and found[0][1] == name and found[0][0] > 0.97 and 395 < found[0][2] < 410, (name, n, between, found)
+    assert not scanner.scan(f"{filler} {' '.join(sorted(mit.split()))} {filler}".encode())
+
+
 def test_patience_alignment():
     import random
 
