@@ -13,7 +13,8 @@ rarest are looked for.  Texts without any of them are passed over, others lose
 nothing.  Work is linear in a text; nothing is shuffled.
 
 Defined cases.  Null or empty text: no license, coverage 0.  Of templates with equal
-coverage the longest, then the first by name, is the best.  Repeated rows and null
+coverage the longest, then the first by name, is the best; "All rights reserved" comes
+after all licenses.  Repeated rows and null
 ids: each row on its own.  Empty table: no rows.  Extra columns are ignored.
 """
 
@@ -83,10 +84,15 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "All rights reserved": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
 
 
+#: Found beside licenses too, so the best only where nothing else is found.
+LAST = "All rights reserved"
+
+
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
@@ -171,7 +177,7 @@ class Scanner:
 
     @staticmethod
     def _drift(template: list[bytes]) -> int:
-        return max(3, len(template) // 2)
+        return max(0, min(max(3, len(template) // 2), len(template) - 2))
 
     def _single(self, words: list[bytes], start: int, end: int, name: str, share: float):
         """What spans of about one template length have, where the window bears more than the share."""
@@ -222,7 +228,7 @@ class Scanner:
                         best = found
             if best and best[0] >= self.threshold:
                 out.append((best[0], name, best[1], best[2]))
-        return sorted(out, key=lambda x: (-x[0], -len(self.templates[x[1]]), x[1]))
+        return sorted(out, key=lambda x: (x[1] == LAST, -x[0], -len(self.templates[x[1]]), x[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

@@ -253,6 +253,14 @@ def test_repeated_licenses_inside_a_text():
     assert not scanner.scan(f"{filler} {' '.join(sorted(mit.split()))} {filler}".encode())
 
 
+def test_all_rights_reserved():
+    scanner = licenses.Scanner()
+    assert [f[:2] for f in scanner.scan(b"one two\nAll rights reserved.\nthree")] == [(1.0, "All rights reserved")]
+    assert not scanner.scan(b"all the rights that were reserved")
+    bsd = licenses.TEMPLATES["BSD"].replace("materials", "things")
+    assert [f[1] for f in scanner.scan(f"Copyright X. All rights reserved. {bsd}".encode())] == ["BSD", "All rights reserved"]
+
+
 def test_patience_alignment():
     import random
 
