@@ -22,7 +22,7 @@ def identify_language(spark, docs, sf_dir):
 def deduplicate_lines(spark, docs, sf_dir):
     """Repeated lines go, and documents of which nothing is left."""
     ship(spark)
-    return line_dedup.keep_lines(docs)
+    return line_dedup.keep_lines(docs, wide=True)
 
 
 def join_near_duplicates(spark, docs, sf_dir):

@@ -109,3 +109,13 @@ def settle(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Remove the files of settled frames that nothing will read again."""
+    for df in settled:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
