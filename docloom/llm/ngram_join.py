@@ -302,7 +302,7 @@ def _search(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """Per row of `docs`: doc_id, _k1, _k2, n_shingles, component_id, n_links of its set's."""
+    """Per row of `docs`: doc_id, _k1, _k2, n_shingles, component_id.  Links are found only as far as components need them."""
     pts = settle(points(docs, frequent_shingles(docs, size), percent, size).withColumn("node", F.monotonically_increasing_id()))
     # Equal sets are one node, the least.
     same = pts.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"))
