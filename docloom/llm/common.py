@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -96,26 +97,55 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder, so that a lost executor costs no rerun.
+class Scratch:
+    """Tables that one operator writes on its way, in the folder that all executors share.
 
-    The shuffles that led there are removed at once; nothing reads them again.
+    `settle` computes a frame once and reads it back, so that a lost executor costs no
+    rerun and later steps read only the columns they need.  `close` removes all tables
+    but those that the operator's lazy result still reads; these go with the session.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def discard(*settled: DataFrame) -> None:
-    """Remove the files of settled frames that nothing will read again."""
-    for df in settled:
-        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+        path, fs = self._fs(self.folder)
+        fs.deleteOnExit(path)
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """The shuffles that led here are removed at once; nothing reads them again."""
+        path, before = f"{self.folder}/{len(self.tables)}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[path] = table
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing will read again."""
+        for path in [p for p, t in self.tables.items() if any(t is x for x in tables)]:
+            self.tables[path] = None
+            p, fs = self._fs(path)
+            fs.delete(p, True)
+
+    def close(self, *kept: DataFrame) -> None:
+        self.drop(*(t for t in self.tables.values() if t is not None and not any(t is x for x in kept)))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A small table that an operator's result reads; it goes with the session."""
+    return Scratch(df.sparkSession).settle(df)
+
+
+#: Rows of keys that may be broadcast, some 40 bytes each.
+MAX_KEYS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """`keys`, settled rows of a few numbers, to be broadcast if they are counted small."""
+    return F.broadcast(keys) if keys.count() <= MAX_KEYS else keys

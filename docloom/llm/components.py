@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Scratch
 
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
@@ -33,13 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     shared folder.  No group is collected: a hub meets its links in joins alone.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs, before = settle(pairs), None
+    scratch = Scratch(links.sparkSession)
+    pairs, before = scratch.settle(pairs), None
     while True:
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first()
         if state == before or not state[0]:
             break
-        before = state
-        pairs = settle(_stars(_stars(pairs, small=False), small=True))
+        before, last = state, pairs
+        pairs = scratch.settle(_stars(_stars(pairs, small=False), small=True))
+        scratch.drop(last)
     roots = pairs.select("a").distinct()
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         roots.select(F.col("a").alias("node"), F.col("a").alias("root"))

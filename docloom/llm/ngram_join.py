@@ -14,28 +14,40 @@ decides on cost alone, not on results), so common passages form no blocks.
 
 Groups of copies: equal sets are one point, and blocks of the same members are one
 block.  The trees first tell which points have any possible partner; texts of the
-others aren't looked at again.  In each block, points are then compared with its
-least point only, and verified links merge points into clusters
-(twice).  The trees then look for pairs of different clusters, so a group of
-thousands of near copies costs about one comparison a member, not one a pair.
-Every link between two different components is found: a pair not compared is one
-whose two ends are connected already.
+others aren't looked at again.  Every point has a home, its largest block, cut into
+cells of TILE points by hash.  Sets travel to cells, not to blocks: a cell's tree is
+searched for pairs and these are verified on the sets at once.  A pair that links found
+before connect is skipped, so a group of thousands of near copies costs about one
+comparison a member, not one a pair, and a task returns a spanning forest, at most a
+row for each point.  That leaves a few clusters a group; those of a home of several
+cells are compared by one point each.  Then the trees of blocks that still hold several
+clusters tell which points of which pairs of cells have a possible partner in another
+cluster, and these are verified cell by cell.  Nothing is capped: every link between
+two components is found.
+
+Blocks of more than BLOCK_TILE points are dealt to tiles; only points without a partner
+in their own tile, or still apart in the end, are looked up in the others.
 
 Defined cases.  Null, empty or word-less text: empty set, linked with nothing.
-Null ids: linked like others and given the component's least id, null if none.
-Repeated ids or rows: each row by its own text.  Empty table: no rows.
+Very long text: one set, in pieces of a megabyte; a count above 254 is read as the
+size of the set, which only weakens the bound.  Ties: of equal sets the one read first
+stands for the others; a component is named by its least id.  Null ids: linked like
+others and given the component's least id, null if none.  Repeated ids or rows: each
+row by its own text.  Empty table: no rows.  Extra and clashing columns: ignored by
+`join_components`, kept by `keep_one`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, settle, text_key, unpacked
+from .common import Scratch, bounded, packed, text_key, unpacked
 from .components import components
 from .shingles import sets_of
 
@@ -45,10 +57,13 @@ MANY = 255
 LEAF = 16
 #: Shingles whose rank is kept, the most frequent (a bound for the broadcast).
 MAX_FREQUENT = 1 << 16
-#: Rows of keys that may be broadcast, 24 bytes each.
-MAX_KEYS = 1_000_000
-#: Points of a block that one task compares with as many others.
-TILE = 2048
+#: Points of a block that are searched together, without their sets.
+BLOCK_TILE = 1024
+#: Points of a cell, and bytes of their sets.
+TILE = 256
+BYTES = 16 << 20
+#: Points that a task takes up at once, whole blocks of them.
+CHUNK = 8192
 
 
 def frequent_shingles(docs: DataFrame, size: int = 5) -> np.ndarray:
@@ -181,174 +196,316 @@ def search(a: RTree, b: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return a.rows[i], b.rows[j]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    p = p.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return p.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
-def _labelled(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return blocks.withColumn("root", F.col("node"))
-    return blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _to_least(blocks: DataFrame, percent: int) -> DataFrame:
-    """Per node one pair: with the least-rooted point that it shares most blocks with."""
-    least = blocks.groupBy("h").agg(F.min(F.struct("root", "node", "n")).alias("p"), F.max("root").alias("most"))
-    least = least.where(F.col("p.root") < F.col("most")).select("h", "p")
-    met = blocks.join(least, "h").where(F.col("root") != F.col("p.root"))
-    met = met.where((100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n")))
-    met = met.groupBy("node", F.col("p.node").alias("a")).agg(F.count(F.lit(1)).alias("k"))
-    met = met.groupBy("node").agg(F.max(F.struct("k", (-F.col("a")).alias("a"))).alias("m"))
-    return met.select((-F.col("m.a")).alias("a"), F.col("node").alias("b"))
-
-
-def _once(blocks: DataFrame, value: str) -> DataFrame:
-    """The blocks in which `value` differs, those of the same members once, with their size m."""
-    seen = blocks.groupBy("h").agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("m"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("sig2"),
-    )
-    seen = seen.where("lo <> hi").groupBy("m", "sig", "sig2").agg(F.min("h").alias("h"))
-    return blocks.join(seen.select("h", "m"), "h")
-
-
-def _close(vecs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which points have a possible partner; all are of different roots.
+def _close(vecs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Which points have a possible partner of another root.
 
     Neighbours in the order of a tree are tried first: in a group of copies that
     settles nearly all, and only the rest is searched for.
     """
-    tree = RTree(vecs, sizes, np.arange(len(sizes)))
+    tree = RTree(vecs, sizes, roots)
     live = np.zeros(len(sizes), bool)
     for at in range(0, len(sizes), LEAF):
         near = tree.rows[at : at + LEAF]
         both = np.minimum(vecs[near, None], vecs[None, near]).sum(2)
         fits = (100 + percent) * both >= percent * (sizes[near, None] + sizes[None, near])
-        np.fill_diagonal(fits, False)
+        fits &= roots[near, None] != roots[None, near]
         live[near] = fits.any(1)
     rest = np.flatnonzero(~live)
     if len(rest) and len(sizes) > LEAF:
-        a, b = search(RTree(vecs[rest], sizes[rest], rest), tree, percent)
+        a, b = search(RTree(vecs[rest], sizes[rest], roots[rest]), tree, percent)
         live[rest[a]] = live[b] = True
     return live
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
-    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-    return node, root, n, _counts(table.column("vec").to_pylist(), n)
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows, sorted by the first `keys` columns, as tables of whole groups with the places where groups begin."""
+    held, rows = [], 0
+
+    def cut(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        new = np.ones(table.num_rows, bool)
+        if table.num_rows:
+            new[1:] = False
+            for k in range(keys):
+                x = table.column(k).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+        return table, np.flatnonzero(new)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            table, starts = cut(held)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+                table = table.slice(starts[-1])
+            held, rows = table.to_batches(), table.num_rows
+    if rows:
+        yield cut(held)
+
+
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j of groups that begin at `starts`."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.repeat(starts, sizes)
+    i = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    after = np.repeat(starts + sizes, sizes) - i - 1
+    a = np.repeat(i, after)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+    return a, b
+
+
+def _bounded(vecs: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs could reach the threshold, by sizes and summed minima."""
+    fits = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+    at = np.flatnonzero(fits)
+    for k in range(0, len(at), 4096):
+        run = at[k : k + 4096]
+        both = np.minimum(vecs[i[run]], vecs[j[run]]).sum(1, dtype=np.int64)
+        fits[run] = (100 + percent) * both >= percent * (n[i[run]] + n[j[run]])
+    return fits
+
+
+def _possible(rows: DataFrame, vectors: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(h, root, node, n) of the points of blocks (h, tiles, root, node, n) that have a possible partner of another root."""
+    b = rows.join(vectors, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    b = b.select("h", "tile", "tiles", "root", "node", "n", "vec")
+    kind = "h bigint, tile int, tiles int, root bigint, node bigint, n bigint"
+
+    def within(batches):
+        for table, starts in _whole_groups(batches, 2):
+            root, n = (table.column(c).to_numpy() for c in ("root", "n"))
+            vecs = _counts(table.column("vec").to_pylist(), n)
+            sizes = np.diff(np.append(starts, len(n)))
+            live = np.zeros(len(n), bool)
+            few = sizes <= LEAF
+            i, j = _pairs_within(starts[few], sizes[few])
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            fits = _bounded(vecs, n, i, j, percent)
+            live[i[fits]] = live[j[fits]] = True
+            for start, size in zip(starts[~few], sizes[~few]):
+                own = slice(start, start + size)
+                live[own] = _close(vecs[own], n[own], root[own], percent)
+            rest = table.select(["h", "tile", "tiles", "root", "node", "n"])
+            yield from rest.append_column("live", pa.array(live)).to_batches()
+
+    told = b.repartition("h", "tile").sortWithinPartitions("h", "tile").mapInArrow(within, kind + ", live boolean")
+    told = scratch.settle(told)
+    found = told.where("live").select("h", "root", "node", "n")
+    alone = told.where("not live and tiles > 1").select("h", "tiles", "tile", "root", "node", "n")
+    if alone.isEmpty():
+        return found
+    # What has no partner in its tile is looked up in the other tiles.
+    asked = alone.join(vectors, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
+    asked = asked.select(*(F.col(c).alias(a) for c, a in zip(("h", "other", "root", "node", "n", "vec"), ("h", "tile", "root", "node", "n", "vec"))))
+
+    def across(asked: pa.Table, there: pa.Table) -> pa.Table:
+        names = ["h", "root", "node", "n"]
+        if not asked.num_rows or not there.num_rows:
+            return asked.select(names).slice(0, 0)
+        trees = []
+        for t in (asked, there):
+            root, n = t.column("root").to_numpy(), t.column("n").to_numpy()
+            trees.append(RTree(_counts(t.column("vec").to_pylist(), n), n, root))
+        i, j = search(*trees, percent)
+        return pa.concat_tables([asked.take(pa.array(np.unique(i))).select(names), there.take(pa.array(np.unique(j))).select(names)])
 
+    whole = b.where("tiles > 1").select("h", "tile", "root", "node", "n", "vec")
+    far = asked.groupBy("h", "tile").cogroup(whole.groupBy("h", "tile")).applyInArrow(across, "h bigint, root bigint, node bigint, n bigint")
+    return found.unionByName(far).distinct()
 
-def _tiled(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Large blocks are dealt to tiles."""
-    b = blocks.join(vectors, "node").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
-    b = b.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    return b.select("h", "tiles", "tile", "node", "root", "n", "vec")
 
+def forest(sets: list[np.ndarray], roots: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links (root, root) that connect what the points of each group (two lists of places) connect.
 
-def _possible(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n) of the points of blocks (each its own root) that have a possible partner."""
-    b = _tiled(blocks, vectors)
-    kind = "h bigint, tiles int, node bigint, n bigint, live boolean"
+    Pairs that the links found so far connect aren't compared.
+    """
+    up: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def meet(i: int, j: int) -> None:
+        x, y = top(int(roots[i])), top(int(roots[j]))
+        if x == y:
+            return
+        a, b = sets[i], sets[j]
+        if len(a) > len(b):
+            a, b = b, a
+        if not len(a) or 100 * len(a) < percent * len(b):
+            return
+        at = np.searchsorted(b, a)
+        both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            up[max(x, y)] = min(x, y)
+            links.append((min(x, y), max(x, y)))
+
+    for left, right in groups:
+        own = np.unique(np.concatenate([left, right]))
+        if len(own) < 2:
+            continue
+        n = np.array([len(sets[k]) for k in own], np.int64)
+        vecs = np.stack([np.bincount((sets[k] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for k in own])
+        if len(own) <= LEAF:
+            i, j = _pairs_within(np.zeros(1, np.int64), np.array([len(own)]))
+            fits = _bounded(vecs, n, i, j, percent)
+            for a, b in zip(own[i[fits]], own[j[fits]]):
+                meet(a, b)
+            continue
+        # Neighbours in the tree's order first, which joins most copies.
+        order = own[RTree(vecs, n, roots[own]).rows]
+        for a, b in zip(order, order[1:]):
+            meet(a, b)
+        now = np.array([top(int(x)) for x in roots[own]])
+        if (now == now[0]).all():
+            continue
+        sides = [np.searchsorted(own, x) for x in (left, right)]
+        trees = [RTree(vecs[x], n[x], now[x]) for x in sides[: 1 if left is right else 2]]
+        i, j = search(trees[0], trees[-1], percent)
+        # Those that could share most first.
+        i, j = sides[0][i], sides[1][j]
+        if left is right:
+            i, j = i[i < j], j[i < j]
+        for a, b in zip(own[i], own[j]):
+            meet(a, b)
+    return links
+
+
+def _sides(table: pa.Table, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of each group (t1, t2) that are of t1 and that are of t2."""
+    own, t1, t2 = (table.column(c).to_numpy() for c in ("own", "t1", "t2"))
+    out = []
+    for start, end in zip(starts, np.append(starts[1:], len(own))):
+        at = np.arange(start, end)
+        out.append((at, at) if t1[start] == t2[start] else (at[own[at] == t1[start]], at[own[at] == t2[start]]))
+    return out
+
+
+def _linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between roots, a forest for each (t1, t2) of rows (t1, t2, own, root, node)."""
+    b = sets.join(bounded(rows), "node").select("t1", "t2", "own", "root", "s")
+
+    def link(batches):
+        for table, starts in _whole_groups(batches, 2):
+            points = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s").combine_chunks()]
+            links = forest(points, table.column("root").to_numpy(), _sides(table, starts), percent)
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return b.repartition("t1", "t2").sortWithinPartitions("t1", "t2").mapInArrow(link, "a bigint, b bigint").distinct()
+
+
+def _apart(rows: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """(t1, t2, own, root, node): points of blocks (h, tiles, root, node, n, cell) with a possible
+    partner of another root, and the two cells (t1 <= t2) that such pairs are of."""
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("bigint")
+    b = rows.withColumn("own", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles").cast("bigint") - 1)))
+    b = b.select("h", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "root", "node", "n", "cell")
+    b = b.join(vectors, "node").select("h", "t1", "t2", "own", "root", "node", "n", "cell", "vec")
+
+    def search_all(batches):
+        for table, starts in _whole_groups(batches, 3):
+            root, node, n, cell = (table.column(c).to_numpy() for c in ("root", "node", "n", "cell"))
+            vecs = _counts(table.column("vec").to_pylist(), n)
+            for left, right in _sides(table, starts):
+                if not len(left) or not len(right):
+                    continue
+                trees = [RTree(vecs[x], n[x], root[x]) for x in (left, right)[: 1 if left is right else 2]]
+                i, j = search(trees[0], trees[-1], percent)
+                i, j = left[i], right[j]
+                ends = np.sort(np.stack([cell[i], cell[j]]), axis=0)
+                found = [np.stack([*ends, cell[k], root[k], node[k]], 1) for k in (i, j)]
+                found = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["t1", "t2", "own", "root", "node"])
+
+    kind = "t1 bigint, t2 bigint, own bigint, root bigint, node bigint"
+    return b.repartition("h", "t1", "t2").sortWithinPartitions("h", "t1", "t2").mapInArrow(search_all, kind).distinct()
 
-    def within(table: pa.Table) -> pa.Table:
-        _, _, n, vecs = _arrays(table)
-        live = pa.array(_close(vecs, n, percent) if len(n) > 1 else np.zeros(len(n), bool))
-        return table.select(["h", "tiles", "node", "n"]).append_column("live", live)
 
-    told = settle(b.groupBy("h", "tile").applyInArrow(within, kind))
-    # What has no partner in its tile is looked up in the other tiles.
-    rest = told.where("not live and tiles > 1").select("h", "node").join(b, ["h", "node"])
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
-    # Columns of their own, as both sides come from the same rows.
-    rest = rest.select(*(F.col(c).alias(a) for c, a in zip(("h", "other", "node", "root", "n", "vec"), ("h", "tile", "node", "root", "n", "vec"))))
+def _once(blocks: DataFrame, value: str) -> DataFrame:
+    """The blocks in which `value` differs, those of the same values once, with the tiles that they are dealt to."""
+    seen = blocks.groupBy("h").agg(
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64(value)).alias("sig"), F.bit_xor(F.xxhash64(F.lit(7), value)).alias("sig2"),
+    )
+    seen = seen.where("lo <> hi").groupBy("m", "lo", "hi", "sig", "sig2").agg(F.min("h").alias("h"))
+    return blocks.join(seen.select("h", F.ceil(F.col("m") / BLOCK_TILE).cast("int").alias("tiles")), "h")
 
-    def across(asked: pa.Table, there: pa.Table) -> pa.Table:
-        if not asked.num_rows or not there.num_rows:
-            return asked.select(["h", "node", "n"]).slice(0, 0)
-        (_, root, n, vecs), (_, root2, n2, vecs2) = _arrays(asked), _arrays(there)
-        i, j = search(RTree(vecs, n, root), RTree(vecs2, n2, root2), percent)
-        a, b = asked.take(pa.array(np.unique(i))), there.take(pa.array(np.unique(j)))
-        return pa.concat_tables([x.select(["h", "node", "n"]) for x in (a, b)])
-
-    tiles = b.where("tiles > 1").select("h", "tile", "node", "root", "n", "vec")
-    far = rest.groupBy("h", "tile").cogroup(tiles.groupBy("h", "tile")).applyInArrow(across, "h bigint, node bigint, n bigint")
-    return told.where("live").select("h", "node", "n").unionByName(far).distinct()
-
-
-def _search(blocks: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of points of different roots that the R-trees of the blocks let through."""
-    # Each task sees two tiles at most.
-    b = _tiled(blocks, vectors).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    b = b.select("h", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "node", "root", "n", "vec")
-
-    def look(table: pa.Table) -> pa.Table:
-        node, root, n, vecs = _arrays(table)
-        tile = table.column("tile").to_numpy()
-        first, last = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
-        inner, outer = np.flatnonzero(tile == first), np.flatnonzero(tile == last)
-        a = b = np.zeros(0, np.int64)
-        if len(inner) and len(outer) and len(np.unique(root)) > 1:
-            tree = RTree(vecs[inner], n[inner], root[inner])
-            other = tree if first == last else RTree(vecs[outer], n[outer], root[outer])
-            a, b = search(tree, other, percent)
-            a, b = node[inner[a]], node[outer[b]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return b.groupBy("h", "t1", "t2").applyInArrow(look, "a bigint, b bigint").distinct()
+
+def _renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with the roots that the links lead to."""
+    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    return rows.join(found, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
 def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """Per row of `docs`: doc_id, _k1, _k2, n_shingles, component_id.  Links are found only as far as components need them."""
-    pts = settle(points(docs, frequent_shingles(docs, size), percent, size).withColumn("node", F.monotonically_increasing_id()))
+    scratch = Scratch(docs.sparkSession)
+    pts = scratch.settle(points(docs, frequent_shingles(docs, size), percent, size).withColumn("node", F.monotonically_increasing_id()))
     # Equal sets are one node, the least.
     same = pts.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"))
-    named = settle(pts.where("n > 0").select("doc_id", "_k1", "_k2", "n", "node", "f1", "f2").join(same, ["f1", "f2"]))
-    posts = pts.where("n > 0").select("node", F.explode("prefix").alias("h"))
-    shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    blocks = posts.join(shared.hint("shuffle_hash"), "h")
-    blocks = settle(blocks.join(named.select("node", "rep", "n"), "node").select("h", F.col("rep").alias("node"), "n").distinct())
+    named = pts.where("n > 0").select("doc_id", "_k1", "_k2", "n", "node", "f1", "f2").join(same, ["f1", "f2"])
+    named = scratch.settle(named.drop("f1", "f2"))
+    own = pts.where("n > 0").join(bounded(named.where("node <> rep").select("node")), "node", "left_anti")
+    posts = own.select(F.explode("prefix").alias("h"), "node", "n").repartition("h")
+    blocks = scratch.settle(_once(posts, "node").withColumn("root", F.col("node")))
     # Most blocks are of the same few documents, which share a line, and most of
     # those documents are too different: the trees leave what has a possible partner.
-    blocks = _once(blocks, "node").withColumn("root", F.col("node"))
-    blocks = settle(_possible(blocks, pts.select("node", "vec"), percent))
+    vectors = pts.select("node", "vec")
+    live = scratch.settle(_possible(blocks, vectors, scratch, percent))
+    scratch.drop(blocks)
 
-    wanted = blocks.select("node").distinct().join(named.where("node = rep").select("node", "doc_id", "_k1", "_k2"), "node")
-    wanted = settle(wanted)
-    if wanted.count() <= MAX_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = live.select("node").distinct().join(named.where("node = rep").select("node", "doc_id", "_k1", "_k2"), "node")
+    wanted = bounded(scratch.settle(wanted))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text").alias("d")
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "_k1", "_k2")]
 
     def full(batches):
         for batch in batches:
-            sets = pa.array([s.view(np.int64) for s in sets_of(batch.column(1), size)], pa.list_(pa.int64()))
+            sets = pa.array([s.tobytes() for s in sets_of(batch.column(1), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "s"])
 
-    texts = keyed.join(wanted.alias("w"), on).select("w.node", "d.text")
-    sets = settle(texts.mapInArrow(full, "node bigint, s array<bigint>").dropDuplicates(["node"]))
-
-    links, roots = None, None
-    for _ in range(2):
-        met = _verified(_to_least(_labelled(blocks, roots), percent), sets, percent)
-        links = settle(met if links is None else links.unionByName(met).distinct())
-        roots = components(links)
-    mixed = _once(_labelled(blocks, roots), "root")
-    met = _verified(_search(mixed, pts.select("node", "vec"), percent), sets, percent)
-    roots = settle(components(links.unionByName(met)))
+    sets = scratch.settle(keyed.join(wanted.alias("w"), on).select("w.node", "d.text").mapInArrow(full, "node bigint, s binary"))
+
+    # Every point in its cell.
+    of = live.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    of = of.select("h", "m", F.ceil(F.greatest(F.col("m") / TILE, 8 * F.col("size") / BYTES)).cast("int").alias("cells"))
+    home = live.join(of, "h").groupBy("node", "root").agg(F.max(F.struct("m", "h", "cells")).alias("b"))
+    cell = F.xxhash64("b.h", F.pmod(F.xxhash64("node"), F.col("b.cells")))
+    home = scratch.settle(home.select("node", "root", F.col("b.h").alias("home"), F.col("b.cells").alias("cells"), cell.alias("cell")))
+    rows = home.select(*(F.col("cell").alias(c) for c in ("t1", "t2", "own")), "root", "node")
+    labels = scratch.settle(_renamed(home.select("node", "root"), scratch.settle(_linked(rows, sets, percent))))
+    if not home.where("cells > 1").isEmpty():
+        # Of homes with several cells, one point for each cluster, the one that names it.
+        heads = home.where("cells > 1").select("home", "cells", "node").join(labels, "node").groupBy("home", "root").agg(F.max("cells").alias("cells"))
+        own = F.xxhash64("home", F.pmod(F.xxhash64("root"), F.ceil(F.col("cells") / TILE)))
+        heads = heads.select(*(own.alias(c) for c in ("t1", "t2", "own")), "root", F.col("root").alias("node"))
+        labels = scratch.settle(_renamed(labels, scratch.settle(_linked(scratch.settle(heads), sets, percent))))
+
+    # What could still link two clusters.
+    several = live.drop("root").join(labels, "node").groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    left = live.drop("root").join(several.where("lo <> hi").select("h"), "h", "left_semi").join(labels, "node")
+    left = scratch.settle(_once(left, "node").join(home.select("node", "cell"), "node"))
+    rows = scratch.settle(_apart(left, vectors, percent))
+    labels = scratch.settle(_renamed(labels, scratch.settle(_linked(rows, sets, percent))))
 
     # Clusters of different sets, then the least id of any member.
-    tops = named.select("rep", "least").distinct().join(roots.withColumnRenamed("node", "rep"), "rep")
+    tops = named.select("rep", "least").distinct().join(labels.withColumnRenamed("node", "rep"), "rep")
     tops = tops.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_rep = roots.join(tops, "root").select(F.col("node").alias("rep"), "component_id")
+    by_rep = labels.join(tops, "root").select(F.col("node").alias("rep"), "component_id")
     linked = named.join(by_rep, "rep", "left").select(
         "doc_id", "_k1", "_k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least").alias("component_id")
     )
     empty = pts.where("n = 0").select("doc_id", "_k1", "_k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(empty)
+    found = scratch.settle(linked.unionByName(empty))
+    scratch.close(found)
+    return found
 
 
 def report(docs: DataFrame) -> DataFrame:
