@@ -448,10 +448,12 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     """Per row of `docs`: doc_id, _k1, _k2, n_shingles, component_id.  Links are found only as far as components need them."""
     scratch = Scratch(docs.sparkSession)
     pts = scratch.settle(points(docs, frequent_shingles(docs, size), percent, size).withColumn("node", F.monotonically_increasing_id()))
-    # Equal sets are one node, the least.
-    same = pts.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"))
-    named = pts.where("n > 0").select("doc_id", "_k1", "_k2", "n", "node", "f1", "f2").join(same, ["f1", "f2"])
-    named = scratch.settle(named.drop("f1", "f2"))
+    # Equal sets are one node, the least; only sets that stand for others are joined.
+    same = pts.where("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+    same = scratch.settle(same.where("c > 1").drop("c"))
+    named = pts.where("n > 0").select("doc_id", "_k1", "_k2", "n", "node", "f1", "f2").join(bounded(same), ["f1", "f2"], "left")
+    least = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    named = scratch.settle(named.withColumn("least", least).withColumn("rep", F.coalesce("rep", "node")).drop("f1", "f2"))
     own = pts.where("n > 0").join(bounded(named.where("node <> rep").select("node")), "node", "left_anti")
     posts = own.select(F.explode("prefix").alias("h"), "node", "n").repartition("h")
     blocks = scratch.settle(_once(posts, "node").withColumn("root", F.col("node")))

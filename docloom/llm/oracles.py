@@ -103,15 +103,19 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d left
 
 LINE_DEDUP = f"""
 with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
-l as (select *, {words("line")} as w from raw),
-f as (select w, min((doc_id, k)) as place from l where len(w) > 0 group by w),
-v as (select place, w, i, len(w) - 1 as n, array_to_string(w[:i - 1] || w[i + 1:], ' ') as v from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 8)),
-a as (select w from (select w, place, min(place) over (partition by v, i, n) as least from v) where least < place),
-x as (select f.w as short, v.w as long, f.place as sp, v.place as lp from f join v on array_to_string(f.w, ' ') = v.v and len(f.w) = v.n where len(f.w) >= 8),
-near as (select w from a union select short from x where lp < sp union select long from x where sp < lp),
-fate as (select l.*, case when len(l.w) = 0 then 0 when near.w is not null then 2 when (doc_id, k) <> place then 1 else 0 end as gone
-  from l left join f on f.w = l.w left join near on near.w = l.w)
-select doc_id, count(*) filter (len(w) > 0)::bigint as n_lines, count(*) filter (gone = 1)::bigint as n_exact, count(*) filter (gone = 2)::bigint as n_near,
+l as (select *, {words("line")} as w, array_to_string({words("line")}, ' ') as t from raw),
+f as (select t, len(any_value(w)) as words, min((doc_id, k)) as place, any_value(w) as w from l where t <> '' group by t),
+e as (select 'words' as unit, t, words, place, w as u from f where words >= 5
+  union all select 'chars', t, words, place, string_split(t, '') from f where words <= 5 and length(t) between 20 and 1000),
+v as (select *, len(u) - 1 as n, array_to_string(u[:i - 1] || u[i + 1:], chr(31)) as v from (select *, unnest(range(1, len(u) + 1)) as i from e)),
+met as (select a.unit, a.t, b.t as other from v a join v b on a.unit = b.unit and a.v = b.v and a.n = b.n and a.i = b.i and b.place < a.place
+    and (a.unit = 'words' or least(a.words, b.words) < 5)
+  union select s.unit, case when s.place < v.place then v.t else s.t end, '' from e s join v on s.unit = v.unit and array_to_string(s.u, chr(31)) = v.v and len(s.u) = v.n
+    and (s.unit = 'words' or least(s.words, v.words) < 5)),
+near as (select distinct t from met),
+fate as (select l.*, case when l.t = '' then 0 when near.t is not null then 2 when (doc_id, k) <> place then 1 else 0 end as gone
+  from l left join f on f.t = l.t left join near on near.t = l.t)
+select doc_id, count(*) filter (t <> '')::bigint as n_lines, count(*) filter (gone = 1)::bigint as n_exact, count(*) filter (gone = 2)::bigint as n_near,
   length(coalesce(string_agg(line, chr(10) order by k) filter (gone = 0), ''))::bigint as n_chars,
   sha256(coalesce(string_agg(line, chr(10) order by k) filter (gone = 0), '')) as text_sha256 from fate group by doc_id"""
 

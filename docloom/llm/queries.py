@@ -48,11 +48,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-def op10_line_dedup_wide(spark, sf_dir):
-    """op10_line_dedup with the bound that follows the length, which its SQL hasn't."""
-    return line_dedup.report(table(spark, sf_dir, "documents"), wide=True)
-
-
 def op3_token_counts(spark, sf_dir):
     folder = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
     return token_rollup.report(table(spark, sf_dir, "documents"), folder)
@@ -79,6 +74,5 @@ QUERIES = {
         op8_langid,
         op9_licenses,
         op10_line_dedup,
-        op10_line_dedup_wide,
     )
 }

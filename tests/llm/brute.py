@@ -81,7 +81,15 @@ def one_edit(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def lines_gone(docs, least=8):
+def near_lines(a, b):
+    """Word lists within one edit: of words if both have five, else of characters of short lines."""
+    if min(len(a), len(b)) >= 5:
+        return one_edit(a, b)
+    x, y = " ".join(a), " ".join(b)
+    return max(len(a), len(b)) <= 5 and 20 <= min(len(x), len(y)) and max(len(x), len(y)) <= 1000 and one_edit(tuple(x), tuple(y))
+
+
+def lines_gone(docs):
     """{doc_id: (exact line numbers, near line numbers)}; ids must differ."""
     first, seen = {}, []
     for i, t in sorted(docs):
@@ -89,8 +97,7 @@ def lines_gone(docs, least=8):
             if w := tuple(SPACED.findall(line)):
                 seen.append((i, k, w))
                 first.setdefault(w, (i, k))
-    long = [w for w in first if len(w) >= least]
-    near = {a for a in long for b in long if a != b and first[b] < first[a] and abs(len(a) - len(b)) < 2 and one_edit(a, b)}
+    near = {a for a in first for b in first if a != b and first[b] < first[a] and abs(len(a) - len(b)) < 2 and near_lines(a, b)}
     gone = defaultdict(lambda: (set(), set()))
     for i, k, w in seen:
         if w in near:

@@ -168,61 +168,42 @@ def test_line_dedup(spark, corpus, empty):
     assert line_dedup.report(empty).count() == 0
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def test_wide_line_dedup(spark, empty):
-    """The bound follows the length; every pair is compared in Python."""
+def test_lines_of_every_length(spark):
+    """Edited lines of one to sixty words; every pair is compared in Python."""
     import random
 
     r = random.Random(5)
 
-    def edited(w, k):
+    def edited(w):
         w = list(w)
-        for _ in range(k):
-            i = r.randrange(len(w))
-            w[i : i + 1] = r.choice(([], [f"new{r.randrange(10**6)}"], [w[i], f"more{r.randrange(10**6)}"]))
+        i = r.randrange(len(w))
+        w[i : i + 1] = r.choice(([], ["q"], [w[i], "z"]))
         return w
 
     lines = []
-    for n in (5, 6, 7, 9, 39, 40, 45, 60, 79, 100, 150, 300):
-        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
-        lines += [base, *(edited(base, k) for k in range(1, 2 + n // 16) for _ in range(2))]
-    for base in ("a line of some length", "not so long", "é" * 25, "four words, twenty chars"):
-        lines += [[base], [base[:4] + "x" + base[5:]], [base + "s"], [base[1:]], [base[:7] + "uv" + base[9:]]]
-    lines = [" ".join(x) for x in lines]
+    for n in (*range(1, 10), 11, 24, 25, 60):
+        for _ in range(3):
+            base = ["".join(r.choices("abcdé", k=r.randrange(1, 9))) for _ in range(n)]
+            lines += [" ".join(edited(edited(base) or ["x"]) if two else edited(base)) for two in (0, 0, 1, 1)] + [" ".join(base)]
+            lines += ["".join(edited(" ".join(base))) for _ in range(3)]
+    lines += ["q" * n for n in (18, 19, 20, 21, 22, 999, 1000, 1001)] + ["x" * 40 + " " + "y" * k for k in (1, 2, 4)]
     r.shuffle(lines)
-    docs = [(i, "\n".join(lines[k::20])) for i, k in enumerate(range(20))]
-    order = [tuple(x.split()) for _, t in docs for x in t.split("\n")]
-
-    def alike(a, b):
-        n, m = sorted((len(a), len(b)))
-        if n >= 5 and m - n <= max(1, n // 20) and distance(a, b) <= max(1, n // 20):
-            return True
-        x, y = " ".join(a), " ".join(b)
-        return m < 8 and min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) < 2 and distance(x, y) <= 1
-
-    near = {b for i, b in enumerate(order) if any(a != b and alike(a, b) for a in order[: order.index(b)])}
+    docs = [(i, "\n".join(lines[i::20])) for i in range(20)]
+    gone = brute.lines_gone(docs)
+    assert sum(len(b) for _, b in gone.values()) > 60
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    left = {x.doc_id: x.text for x in line_dedup.cleaned(frame, wide=True).select("row.doc_id", "text").collect()}
-    seen = set()
+    found = {x.doc_id: x for x in line_dedup.cleaned(frame).select("row.doc_id", "text", "n_exact", "n_near").collect()}
     for i, t in docs:
-        kept = []
-        for x in t.split("\n"):
-            w = tuple(x.split())
-            if w not in near and w not in seen:
-                kept.append(x)
-            seen.add(w)
-        assert left[i] == "\n".join(kept), i
-    one = line_dedup.cleaned(frame).selectExpr("sum(n_near)").first()[0]
-    assert 0 < one < len(near)
-    assert line_dedup.report(empty, wide=True).count() == 0
+        a, b = gone[i]
+        assert (found[i].n_exact, found[i].n_near) == (len(a), len(b)), i
+        assert found[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in a | b)
+
+
+def test_a_template_with_many_fillings(spark):
+    base = " ".join(f"word{k}" for k in range(30))
+    rows = [(i, f"{base} filling{i} {base}\n{base} {base} common\nfilling{i}") for i in range(300)]
+    found = line_dedup.cleaned(spark.createDataFrame(rows, "doc_id bigint, text string")).selectExpr("sum(n_exact) as e", "sum(n_near) as n").first()
+    assert (found.e, found.n) == (299, 299)
 
 
 def test_word_edits(spark):
