@@ -1,10 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of token blocks.
 
 Each source's words, its documents laid end to end in seeded order, are cut into
-blocks of `block` words.  The mix has as many blocks as the corpus.  They go to the
-sources by the highest quotients target / (2 j + 1), which gives whole quotas that
-grow from shard to shard, and a source's quota is then filled with its blocks in an
-order that a seeded permutation gives, over and over if the quota exceeds them.
+blocks of `block` words.  The mix has as many blocks as the corpus, dealt to `shards`
+shards.  Blocks go to the sources by the highest quotients target / (2 j + 1), which
+gives whole quotas that only grow with the number dealt, so a shard's quotas are the
+differences between successive apportionments.  A source's blocks stand in an order
+that a seeded permutation gives, over and over if its quota exceeds them; the shards
+take their quotas from that order one after the other.
+
+A source of less than a block is dealt by words: its quota is its target.
 
 Targets: sources in code-point order (null last) weigh `weights` in turn and share
 the size of the corpus; a target stops at `cap` times its source's size and what it
@@ -12,11 +16,15 @@ can't take is shared among the others by weight.
 
 A source with a third of all rows is laid out in parallel: its documents fall into
 4096 buckets by key, only bucket totals are summed along the source.  What goes
-through one task is a row per source or per bucket of one source, no document.
+through one task is a row per source (for each shard) or per bucket of one source, no
+document.  Millions of sources, such as hosts, should be grouped before.
 
 Defined cases.  Null or word-less text: size 0, taken 0.  Null source: a source of
-its own.  Null or repeated ids and repeated rows: each row is a document of its own
-(equal rows are interchangeable).  Empty table: no rows.  Extra columns are ignored.
+its own.  Very long text: its blocks are summed in its row.  Ties of quotients go to
+the first source.  Null or repeated ids and repeated rows: each row is a document of
+its own (equal rows are interchangeable).  Sources of billions of blocks: the products
+of the permutation stay below 2**63.  Empty table: no rows.  Extra and clashing columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from .common import settle, space_words
 
 #: Primes just below 2**31, multipliers of the block permutation.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)
+#: The same for sources of 2**31 blocks and more: primes just below 2**20.
+SMALL_PRIMES = (1048573, 1048571)
 SRC = ["_no", "_src"]
 
 
@@ -62,16 +72,17 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
     return s.select(*SRC, "source_size", target.alias("target"), F.col("_t").alias("total"))
 
 
-def quotas(targets: DataFrame, block: int = 64, cap: int = 3, blocks: Column | None = None) -> DataFrame:
-    """SRC, source_size, target, quota: blocks by the highest quotients target / (2 j + 1).
+def quotas(targets: DataFrame, block: int = 64, cap: int = 3, shards: int = 1) -> DataFrame:
+    """SRC, source_size, target, _shard (from 1), quota: blocks by the highest quotients
+    target / (2 j + 1) when the first _shard of `shards` equal parts of all blocks are dealt.
 
-    `blocks` (default: those of the corpus) is how many are dealt.  Rounding
-    target / divisor gives every quota but for at most half a block a source; those
-    few quotients around the boundary are ranked, not all of them.
+    Rounding target / divisor gives every quota but for at most half a block a source;
+    those few quotients around the boundary are ranked, not all of them.
     """
-    every = Window.partitionBy()
-    k = blocks if blocks is not None else F.when(F.col("total") > 0, F.greatest(F.floor(F.col("total") / block), F.lit(1))).otherwise(0)
-    t = targets.withColumn("_k", k).withColumn("_d", F.try_divide(F.sum("target").over(every), F.col("_k")))
+    every = Window.partitionBy("_shard")
+    t = targets.select("*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("_shard"))
+    k = F.when(F.col("total") > 0, F.greatest(F.floor(F.col("total") / block), F.lit(1))).otherwise(0)
+    t = t.withColumn("_k", F.floor(k * F.col("_shard") / shards)).withColumn("_d", F.try_divide(F.sum("target").over(every), F.col("_k")))
     q0 = F.when(F.col("_k") > 0, F.coalesce(F.floor(F.try_divide("target", "_d") + 0.5), F.lit(0))).otherwise(0).cast("long")
     t = t.withColumn("_q", q0).withColumn("_gap", F.col("_k") - F.sum("_q").over(every))
     # No source gains or loses more than its share of 1.5 blocks a source, and one.
@@ -82,62 +93,83 @@ def quotas(targets: DataFrame, block: int = 64, cap: int = 3, blocks: Column | N
         "*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_q") - F.col("_reach")), F.col("_q") - 1)).alias("_j")
     )
     quotient = F.col("target") / (2 * F.col("_j") + 1)
-    up = grown.withColumn("_r", F.row_number().over(Window.orderBy(quotient.desc(), "_no", "_src"))).where("_r <= _gap")
-    down = shrunk.withColumn("_r", F.row_number().over(Window.orderBy(quotient.asc(), F.desc("_no"), F.desc("_src")))).where("_r <= -_gap")
-    moved = up.select(*SRC, F.lit(1).alias("_m")).unionByName(down.select(*SRC, F.lit(-1).alias("_m")))
-    moved = moved.groupBy(*SRC).agg(F.sum("_m").alias("_m"))
-    t = t.join(moved, SRC, "left").withColumn("quota", F.col("_q") + F.coalesce("_m", F.lit(0)))
+    up = grown.withColumn("_r", F.row_number().over(every.orderBy(quotient.desc(), "_no", "_src"))).where("_r <= _gap")
+    down = shrunk.withColumn("_r", F.row_number().over(every.orderBy(quotient.asc(), F.desc("_no"), F.desc("_src")))).where("_r <= -_gap")
+    moved = up.select(*SRC, "_shard", F.lit(1).alias("_m")).unionByName(down.select(*SRC, "_shard", F.lit(-1).alias("_m")))
+    moved = moved.groupBy(*SRC, "_shard").agg(F.sum("_m").alias("_m"))
+    t = t.join(moved, [*SRC, "_shard"], "left").withColumn("quota", F.col("_q") + F.coalesce("_m", F.lit(0)))
     most = cap * F.ceil(F.col("source_size") / block)
-    return t.select(*SRC, "source_size", "target", F.least("quota", most).cast("long").alias("quota"))
+    return t.select(*SRC, "source_size", "target", "_shard", F.least("quota", most).cast("long").alias("quota"))
 
 
-def shard_quotas(docs: DataFrame, shards: int = 8, block: int = 64, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
-    """shard, source, blocks: what each shard takes of each source.
+def plan(targets: DataFrame, block: int = 64, cap: int = 3, shards: int = 8) -> DataFrame:
+    """SRC, source_size, target, _size (of a block), upto: per source, the quotas of the first 1, 2 ... shards."""
+    q = quotas(targets, block, cap, shards).groupBy(*SRC, "source_size", "target")
+    q = q.agg(F.transform(F.array_sort(F.collect_list(F.struct("_shard", "quota"))), lambda x: x["quota"]).alias("upto"))
+    # A source of less than a block, by words.
+    few = F.least(F.floor(F.col("target") + 0.5), cap * F.col("source_size")).cast("long")
+    words = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.floor(few * i / shards).cast("long"))
+    small = F.col("source_size") < block
+    return q.withColumn("_size", F.when(small, 1).otherwise(block).cast("long")).withColumn("upto", F.when(small, words).otherwise(F.col("upto")))
 
-    Sainte-Laguë never takes a block back as the number dealt grows, so a shard's
-    quotas are the differences between successive apportionments.
-    """
-    targets = settle(source_targets(document_sizes(docs), weights, cap))
-    out = None
-    for i in range(1, shards + 1):
-        k = F.floor(F.floor(F.col("total") / block) * i / shards).cast("long")
-        q = quotas(targets, block, cap, k).select(*SRC, F.lit(i - 1).alias("shard"), "quota")
-        out = q if out is None else out.unionByName(q)
-    w = Window.partitionBy(*SRC).orderBy("shard")
-    return out.select(
-        "shard", F.when(~F.col("_no"), F.col("_src")).alias("source"),
-        (F.col("quota") - F.coalesce(F.lag("quota").over(w), F.lit(0))).alias("blocks"),
+
+def shard_quotas(docs: DataFrame, shards: int = 8, block: int = 64, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
+    """shard, source, block_size, blocks: what each shard takes of each source."""
+    p = plan(source_targets(document_sizes(docs), weights, cap), block, cap, shards)
+    p = p.select("*", F.posexplode("upto").alias("shard", "_q"))
+    before = F.when(F.col("shard") > 0, F.get(F.col("upto"), F.col("shard") - 1)).otherwise(0)
+    return p.select(
+        "shard", F.when(~F.col("_no"), F.col("_src")).alias("source"), F.col("_size").alias("block_size"),
+        (F.col("_q") - before).alias("blocks"),
     )
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block: int = 64, seed: int = 17) -> DataFrame:
-    """Per row of `docs`: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+def places(block_no: Column, n_blocks: Column, seed: int) -> Column:
+    """Place of a block in its source's seeded order: a permutation of 0 to n_blocks - 1 whose product stays below 2**63."""
+    large = F.when(n_blocks % SMALL_PRIMES[0] != 0, SMALL_PRIMES[0]).otherwise(SMALL_PRIMES[1])
+    a = F.when(n_blocks < 2**31, F.lit(PRIMES[seed % len(PRIMES)])).otherwise(large).cast("long")
+    return F.pmod(F.pmod(a, n_blocks) * block_no + F.lit(seed * 7919).cast("long"), n_blocks)
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block: int = 64, seed: int = 17, shards: int = 8) -> DataFrame:
+    """Per row of `docs`: doc_id, source, size, source_size, target, taken (words, repeats
+    counted) and per_shard, the words that each shard takes."""
     sizes = settle(document_sizes(docs, seed))
-    deal = quotas(source_targets(sizes, weights, cap), block, cap)
+    deal = plan(source_targets(sizes, weights, cap), block, cap, shards)
     along = Window.partitionBy(*SRC).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.groupBy(*SRC, "_bucket").agg(F.sum("size").alias("_n"))
-    places = places.withColumn("_at", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
+    spots = sizes.groupBy(*SRC, "_bucket").agg(F.sum("size").alias("_n"))
+    spots = spots.withColumn("_at", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
     # Sources that hold a third of all rows meet their figures as 4096 buckets.
-    places = places.join(deal, SRC)
+    spots = spots.join(deal, SRC)
     within = Window.partitionBy(*SRC, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     d = sizes.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(places, [*SRC, "_bucket"]).withColumn("_c", F.col("_at") + F.col("_in"))
-    n_blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
-    d = d.withColumn("_b", n_blocks)
-    d = d.withColumn("_full", F.least(F.floor(F.col("quota") / F.col("_b")), F.lit(cap)).cast("long"))
-    d = d.withColumn("_rest", F.when(F.col("_full") < cap, F.col("quota") - F.col("_full") * F.col("_b")).otherwise(0))
-    a = F.pmod(F.lit(PRIMES[seed % len(PRIMES)]).cast("long"), F.col("_b"))
-
-    def times(j: Column) -> Column:
-        chosen = F.pmod(a * j + F.lit(seed * 7919).cast("long"), F.col("_b")) < F.col("_rest")
-        return F.col("_full") + chosen.cast("long")
-
-    def overlap(j: Column) -> Column:
-        return F.least(F.col("_c") + F.col("size"), (j + 1) * block) - F.greatest(F.col("_c"), j * block)
-
-    first, last = (F.floor(x / block).cast("long") for x in (F.col("_c"), F.col("_c") + F.col("size") - 1))
-    taken = F.when(
-        F.col("size") > 0,
-        F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, j: acc + overlap(j) * times(j)),
-    ).otherwise(F.lit(0).cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    d = d.join(spots, [*SRC, "_bucket"]).withColumn("_c", F.col("_at") + F.col("_in"))
+    b = F.greatest(F.ceil(F.col("source_size") / F.col("_size")), F.lit(1)).cast("long")
+    first, last = (F.floor(x / F.col("_size")).cast("long") for x in (F.col("_c"), F.col("_c") + F.col("size") - 1))
+
+    def block_of(j: Column) -> Column:
+        """Place in the seeded order, and the words of the document in the block."""
+        words = F.least(F.col("_c") + F.col("size"), (j + 1) * F.col("_size")) - F.greatest(F.col("_c"), j * F.col("_size"))
+        return F.struct(places(j, F.col("_b"), seed).alias("place"), words.alias("words"))
+
+    d = d.withColumn("_b", b).withColumn("_blocks", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), block_of)))
+
+    def upto(q: Column) -> Column:
+        """Words taken by the first q blocks of the order, which starts again after _b blocks."""
+        rounds, rest = F.floor(q / F.col("_b")).cast("long"), F.pmod(q, F.col("_b"))
+        return F.coalesce(
+            F.aggregate("_blocks", F.lit(0).cast("long"), lambda acc, x: acc + x["words"] * (rounds + (x["place"] < rest).cast("long"))),
+            F.lit(0).cast("long"),
+        )
+
+    d = d.withColumn("_upto", F.transform("upto", upto))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_upto", 1, shards - 1))
+    return d.select(
+        "doc_id", "source", "size", "source_size", "target", F.element_at("_upto", shards).alias("taken"),
+        F.zip_with("_upto", before, lambda x, y: x - y).alias("per_shard"),
+    )
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The contract's columns."""
+    return mix(docs).drop("per_shard")

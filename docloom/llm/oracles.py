@@ -42,13 +42,14 @@ level as (select (max(t) - coalesce(sum(most) filter (is_full), 0))::bigint / (m
 goal as (select source, source_size, case when is_full then most::double else l * w end as target, t from held, level),
 dealt as (select source, target / (2 * j + 1) as q from (select source, target, unnest(range(0, greatest(t // {BLOCK}, 1))) as j from goal where t > 0)),
 won as (select source, count(*) as n from (select source from dealt order by q desc, source nulls last limit (select greatest(max(t) // {BLOCK}, 1) from goal)) group by 1),
-plan as (select goal.*, greatest((source_size + {BLOCK - 1}) // {BLOCK}, 1)::bigint as b,
-  least(coalesce(n, 0), 3 * ((source_size + {BLOCK - 1}) // {BLOCK}))::bigint as quota from goal left join won on goal.source is not distinct from won.source),
+plan as (select goal.*, case when source_size < {BLOCK} then 1 else {BLOCK} end as z, greatest((source_size + z - 1) // z, 1)::bigint as b,
+  case when source_size < {BLOCK} then least(floor(target + 0.5), 3 * source_size) else least(coalesce(n, 0), 3 * ((source_size + {BLOCK - 1}) // {BLOCK})) end::bigint as quota
+  from goal left join won on goal.source is not distinct from won.source),
 placed as (select *, (sum(size) over (partition by source order by key rows between unbounded preceding and current row) - size)::bigint as c from s),
-met as (select doc_id, p.source, size, source_size, target, c, b, least(quota // b, 3) as f, quota - least(quota // b, 3) * b as r
+met as (select doc_id, p.source, size, source_size, target, c, z, b, least(quota // b, 3) as f, quota - least(quota // b, 3) * b as r
   from placed p join plan on p.source is not distinct from plan.source),
-cut as (select *, unnest(range(c // {BLOCK}, (c + size - 1) // {BLOCK} + 1)) as j from met where size > 0),
-got as (select doc_id, sum((least(c + size, (j + 1) * {BLOCK}) - greatest(c, j * {BLOCK}))
+cut as (select *, unnest(range(c // z, (c + size - 1) // z + 1)) as j from met where size > 0),
+got as (select doc_id, sum((least(c + size, (j + 1) * z) - greatest(c, j * z))
   * (f + case when f < 3 and (({PRIMES[SEED % len(PRIMES)]} % b) * j + {SEED * 7919}) % b < r then 1 else 0 end))::bigint as taken from cut group by 1)
 select doc_id, source, size, source_size, target, coalesce(taken, 0)::bigint as taken from met left join got using (doc_id)"""
 

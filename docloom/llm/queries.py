@@ -25,7 +25,7 @@ def op1_decontaminate(spark, sf_dir):
 
 
 def op2_mixture(spark, sf_dir):
-    return mixture.mix(table(spark, sf_dir, "documents"))
+    return mixture.report(table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark, sf_dir):

@@ -77,7 +77,28 @@ def test_shards_share_the_quotas(corpus):
     assert all(r.blocks >= 0 for r in shards)
     deal = mixture.quotas(mixture.source_targets(mixture.document_sizes(corpus))).collect()
     for r in deal:
-        assert sum(x.blocks for x in shards if x.source == (None if r._no else r._src)) == r.quota
+        own = [x for x in shards if x.source == (None if r._no else r._src)]
+        assert sum(x.blocks for x in own) == (r.quota if r.source_size >= 64 else min(int(r.target + 0.5), 3 * r.source_size))
+    found = mixture.mix(corpus, shards=4).collect()
+    assert all(sum(r.per_shard) == r.taken and min(r.per_shard) >= 0 for r in found)
+    for x in shards:
+        words = sum(r.per_shard[x.shard] for r in found if r.source == x.source)
+        assert (x.blocks - 3) * x.block_size <= words <= x.blocks * x.block_size
+    assert [r.taken for r in found] == [r.taken for r in mixture.mix(corpus, shards=1).collect()]
+
+
+def test_tiny_sources_meet_their_targets(spark):
+    rows = [(i, "w " * (i % 23), f"s{i // 2:03}") for i in range(300)] + [(999, "w " * 20_000, "zz")]
+    found = mixture.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert all(abs(r[2] - r.target) <= 1 for r in found if r.source != "zz")
+
+
+def test_block_order_of_huge_sources(spark):
+    """Billions of blocks neither overflow nor meet in one place."""
+    for n in (10**11, 2**31, 1048573 * 3000, 7):
+        blocks = spark.range(5000).selectExpr(f"case when {n} > 5000 then {n} - 1 - id * 19999999 else id end as j").where(f"j >= 0 and j < {n}")
+        got = blocks.select(mixture.places(mixture.F.col("j"), mixture.F.lit(n).cast("long"), 17).alias("p"))
+        assert got.where(f"p < 0 or p >= {n}").count() == 0 and got.distinct().count() == got.count()
 
 
 def test_quality(spark, corpus, empty):
