@@ -3,7 +3,8 @@
 A text's subwords (2, 3 and 4 bytes that don't run across a gap between words) are
 hashed into `2**BITS` buckets; the mean of their embeddings goes through a linear
 layer and a softmax.  Embeddings and layer are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled rows (`train_rows`).
+gradient descent in numpy on a bounded sample of labelled rows (`train_rows`), in
+one task of an executor.
 A fifth of the sample is held back to set the softmax's temperature and the score
 below which a prediction is rejected (`max_false_rejection` of good predictions).
 
@@ -11,12 +12,14 @@ Whole texts are scored, in pieces of a megabyte, so memory doesn't grow with a t
 
 Defined cases.  Null text, or one without letters: `und`, score 0, rejected.  Rows
 without a language aren't learned from.  No labelled row at all: everything is `und`.
-One language only: it is predicted with score 1.  Repeated rows and ids: each row
-on its own.  Empty table: no rows.  Extra columns are kept by `keep_identified`.
+One language only: it is predicted with score 1.  Ties: of languages that score alike
+the first by code point.  Repeated rows and ids: each row on its own.  Empty table: no
+rows.  Extra and clashing columns are kept by `keep_identified`, ignored otherwise.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,13 +85,15 @@ def _sums(flat: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.nda
     """Per text, the summed rows of `table` of its subwords, and their number."""
     docs = len(ends) - 1
     total, n = np.zeros((docs, table.shape[1])), np.zeros(docs, np.int64)
-    for at in range(0, len(flat), PIECE):
-        piece = flat[at : at + PIECE + 3]
+    # Sums along a piece take 8 bytes a subword and language.
+    size = max(32, 4 * PIECE // max(4, table.shape[1]))
+    for at in range(0, len(flat), size):
+        piece = flat[at : at + size + 3]
         lo = np.searchsorted(ends, at, "right") - 1
-        hi = min(docs, int(np.searchsorted(ends, at + PIECE, "left")))
-        marks = np.clip(ends[lo : hi + 1] - at, 0, PIECE)
+        hi = min(docs, int(np.searchsorted(ends, at + size, "left")))
+        marks = np.clip(ends[lo : hi + 1] - at, 0, size)
         for start, bucket in grams(piece):
-            keep = np.searchsorted(start, min(PIECE, len(piece)), "left")
+            keep = np.searchsorted(start, min(size, len(piece)), "left")
             cuts = np.searchsorted(start[:keep], marks, "left")
             run = np.zeros((keep + 1, table.shape[1]))
             np.cumsum(table[bucket[:keep]], axis=0, out=run[1:])
@@ -144,25 +149,30 @@ def train(x: np.ndarray, y: np.ndarray, langs: tuple[str, ...], dim: int = 16, e
     return Model(langs, model.table, b, float(temperature), min(0.5, least))
 
 
-def fit(docs: DataFrame, learn: Column, train_rows: int = 4000, **options) -> Model | None:
-    """A model of `train_rows` rows at most of those where `learn` holds and lang is known.
+def fit(docs: DataFrame, learn: Column, train_rows: int = 4000, least: int = 50, max_langs: int = 1000, **options) -> Model | None:
+    """A model of a sample of the rows where `learn` holds and lang is known.
 
-    Rows with the smallest hashes of text and language make up the sample.  Its texts
-    are counted on the executors, so the driver gets bounded histograms, not texts.
+    The sample has about `train_rows` rows, in proportion to the languages but `least` of
+    each if there are as many, so `train_rows + least * max_langs` at most; the most
+    frequent `max_langs` languages are learned.  Rows with the smallest hashes of id and
+    language make it up.  One task trains on their histograms, of 2**BITS buckets at most,
+    and the driver gets the model alone.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
-    if not n:
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    total = sum(r.n for r in counts)
+    if not total:
         return None
-    part = min(1.0, (train_rows + 4 * train_rows**0.5) / n)
+    part = (train_rows + 4 * train_rows**0.5) / total
+    shares = [(r.lang, int(min(1.0, max(part, 2 * least / r.n)) * (1 << 30)) + 1) for r in counts]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, cut bigint"))
     rank = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
-    # A guard: where ids repeat, the hash might let more rows through.
-    sample = labelled.where(rank < int(part * (1 << 30)) + 1).select("lang", "text").limit(train_rows)
+    sample = labelled.select("lang", "text", rank.alias("rank")).join(cuts, "lang").where("rank < cut").select("lang", "text", "rank")
 
     def count(batches):
         for batch in batches:
             flat, ends = _texts(batch.column(1))
-            langs, ids, counts = batch.column(0).to_pylist(), [], []
+            ids, weights = [], []
             for a, z in zip(ends[:-1], ends[1:]):
                 hist = np.zeros(1 << BITS, np.int64)
                 for at in range(a, z, PIECE):
@@ -170,19 +180,26 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = 4000, **options) -> Mo
                         hist += np.bincount(bucket[start < PIECE], minlength=1 << BITS)
                 seen = np.flatnonzero(hist)
                 ids.append(seen.astype(np.uint16).tobytes())
-                counts.append((hist[seen] / max(1, hist.sum())).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "ids", "shares"])
+                weights.append((hist[seen] / max(1, hist.sum())).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["lang", "rank", "ids", "shares"])
 
-    rows = sample.mapInArrow(count, "lang string, ids binary, shares binary").collect()
-    rows = sorted((r for r in rows if len(r.ids)), key=lambda r: (r.lang, bytes(r.ids), bytes(r.shares)))
-    if not rows:
-        return None
-    langs = tuple(sorted({r.lang for r in rows}))
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for row, r in zip(x, rows):
-        row[np.frombuffer(r.ids, np.uint16)] = np.frombuffer(r.shares, np.float32)
-    y = np.array([langs.index(r.lang) for r in rows])
-    return train(x, y, langs, **options)
+    def learned(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)) if r[1]]
+        rows.sort()
+        if not rows:
+            return
+        langs = tuple(sorted({r[0] for r in rows}))
+        x = np.zeros((len(rows), 1 << BITS), np.float32)
+        for row, r in zip(x, rows):
+            row[np.frombuffer(r[1], np.uint16)] = np.frombuffer(r[2], np.float32)
+        model = train(x, np.array([langs.index(r[0]) for r in rows]), langs, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # A guard: where ids repeat, the hash might let more rows through.
+    most = train_rows + int(4 * train_rows**0.5) + 2 * least * len(counts)
+    rows = sample.mapInArrow(count, "lang string, rank bigint, ids binary, shares binary").orderBy("rank", "lang", "ids", "shares").limit(most)
+    found = rows.select("lang", "ids", "shares").mapInArrow(learned, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
