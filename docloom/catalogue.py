@@ -12,7 +12,8 @@ from .operators import postings as ops
 from .operators.index import DocIndex
 from .plans import expressions as x
 from .sources.corpus import order_lifetimes, table
-from .sources.segments import lists, merge_lists
+from .sources.segments import SegmentStore
+from .sources.shared import passing_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,10 @@ def _pairs(spark, sf_dir):
     return ops.postings(_docs(spark, sf_dir))
 
 
+def _unix(t: datetime) -> int:
+    return int((t - datetime(1970, 1, 1)).total_seconds())
+
+
 def _ids(condition: str) -> str:
     return f"select distinct doc_id from post where {condition}"
 
@@ -60,7 +65,7 @@ def postings(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query(f"with {T} select term, string_agg(doc_id::varchar, ',' order by doc_id desc) as doc_ids, count(*) as n from post group by term")
+@query(f"with {T} select term, doc_id >> 16 as bucket, string_agg(doc_id::varchar, ',' order by doc_id desc) as doc_ids, count(*) as n from post group by all")
 def postings_arrays(spark, sf_dir):
     found = ops.postings_arrays(_pairs(spark, sf_dir))
     return found.withColumn("doc_ids", F.array_join(F.col("doc_ids").cast("array<string>"), ","))
@@ -68,7 +73,7 @@ def postings_arrays(spark, sf_dir):
 
 @query(f"with {T} select term, count(distinct doc_id) as n from tok group by term")
 def doc_frequency(spark, sf_dir):
-    return ops.doc_frequency(tokenize(_docs(spark, sf_dir)))
+    return ops.doc_frequency(_docs(spark, sf_dir))
 
 
 @query(f"with {T} select distinct term from tok")
@@ -161,10 +166,26 @@ def nested_boolean(spark, sf_dir):
     return _search(spark, sf_dir, NESTED)
 
 
+_stores: dict = {}
+
+
+def _store(spark, sf_dir, compacted: bool = False) -> SegmentStore:
+    """The documents' postings stored as five segments, as if every fifth document came with each batch."""
+    key = (spark.sparkContext.applicationId, sf_dir, compacted)
+    if key not in _stores:
+        store, pairs = SegmentStore(spark, passing_folder(spark, "segments")), _pairs(spark, sf_dir)
+        for k in range(5):
+            store.append(pairs.where(F.pmod("doc_id", F.lit(5)) == k), f"batch-{k}")
+        if compacted:
+            store.compact()
+        _stores[key] = store
+    return _stores[key]
+
+
 @query(ORACLES["nested_boolean"])
 def nested_boolean_postings(spark, sf_dir):
-    """The same tree on postings: joins on ids in place of one scan of texts."""
-    return x.matching_ids(NESTED, _pairs(spark, sf_dir), _docs(spark, sf_dir))
+    """The same tree on stored postings: filters on sorted segments, then joins on ids."""
+    return DocIndex.from_postings(_store(spark, sf_dir).postings(), _docs(spark, sf_dir).drop("text")).ids(NESTED)
 
 
 @query(f"with {LIFE} select doc_id from life where floor(epoch(created)) between epoch(timestamp '1996-01-01') and epoch(timestamp '1996-12-31 23:59:59')")
@@ -212,7 +233,31 @@ def bit_slices(spark, sf_dir):
 @query("select event_id as doc_id from events where floor(epoch(ts)) >= epoch(timestamp '2024-01-15 08:30:00')")
 def bitsliced_range(spark, sf_dir):
     docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created"))
-    return bits.at_least(bits.bit_slices(docs), docs, int((datetime(2024, 1, 15, 8, 30) - datetime(1970, 1, 1)).total_seconds()))
+    return bits.at_least(bits.bit_slices(docs), docs, _unix(datetime(2024, 1, 15, 8, 30)))
+
+
+@query("select event_id as doc_id from events where floor(epoch(ts)) <= epoch(timestamp '2024-01-15 08:30:00')")
+def bitsliced_at_most(spark, sf_dir):
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created"))
+    return bits.at_most(bits.bit_slices(docs), docs, _unix(datetime(2024, 1, 15, 8, 30)))
+
+
+@query(f"with {LIFE} select doc_id from life where floor(epoch(die)) >= epoch(timestamp '1997-06-01')")
+def bitsliced_die(spark, sf_dir):
+    docs = order_lifetimes(spark, sf_dir).where("die is not null")
+    return bits.at_least(bits.bit_slices(docs, "die"), docs, _unix(datetime(1997, 6, 1)))
+
+
+@query(ORACLES["valid_throughout"])
+def bitsliced_valid_throughout(spark, sf_dir):
+    docs = order_lifetimes(spark, sf_dir)
+    slices = bits.bit_slices(docs), bits.bit_slices(docs, "die")
+    return bits.valid_throughout(*slices, docs, _unix(datetime(1997, 1, 1)), _unix(datetime(1997, 6, 1)))
+
+
+@query("select count(distinct doc_id) as n from documents")
+def document_count(spark, sf_dir):
+    return ops.document_count(_docs(spark, sf_dir))
 
 
 ISLANDS = "islands as (select term, doc_id - row_number() over (partition by term order by doc_id) as i, doc_id from post)"
@@ -263,43 +308,126 @@ def interval_intersect(spark, sf_dir):
     return ops.interval_intersect(a, b)
 
 
-def _key(salt: str = "''") -> str:
-    return f"('0x' || substr(sha256(term || {salt}), 1, 4))::integer"
+def _runs_of(ids: str) -> str:
+    return (
+        f"ids as ({ids}), i as (select doc_id, doc_id - row_number() over (order by doc_id) as i from ids) "
+        "select 'both' as term, min(doc_id) as start, count(*) as length from i group by i"
+    )
+
+
+def _named(spark, sf_dir, term: str):
+    """(term, doc_id) of a term, under one name, so that sets of two terms meet."""
+    return _pairs(spark, sf_dir).where(F.col("term") == term).select(F.lit("both").alias("term"), "doc_id")
+
+
+def _set(term: str) -> str:
+    return _ids(f"term = '{term}'")
+
+
+@query(f"with {T}, {_runs_of(f"{_set('the')} union {_set('and')}")}")
+def interval_union(spark, sf_dir):
+    """Runs of "the" and of "and", united as runs."""
+    return ops.interval_union(*(ops.runs(_named(spark, sf_dir, t)) for t in ("the", "and")))
+
+
+@query(f"with {T}, {_runs_of(f"select doc_id from documents except {_set('the')}")}")
+def interval_not(spark, sf_dir):
+    """Runs of the documents without "the", from runs of all documents."""
+    every = _docs(spark, sf_dir).select(F.lit("both").alias("term"), "doc_id").distinct()
+    return ops.interval_not(ops.runs(every), ops.runs(_named(spark, sf_dir, "the")))
+
+
+@query(f"with {T} select 'both' as term, doc_id from ({_set('the')} intersect {_set('with')})")
+def points_in_runs(spark, sf_dir):
+    """Ids of "with", as an array, that runs of "the" cover."""
+    return ops.points_in_runs(_named(spark, sf_dir, "with"), ops.runs(_named(spark, sf_dir, "the")))
 
 
-@query(f"with {T} select distinct term, {_key()} as key0, {_key("'0'")} as key1 from tok")
+@query(f"with {T}, {_runs_of(f"{_set('the')} union {_set('with')}")}")
+def array_run_union(spark, sf_dir):
+    """Ids of "with", as an array, united with runs of "the"."""
+    return ops.interval_union(ops.as_points(_named(spark, sf_dir, "with")), ops.runs(_named(spark, sf_dir, "the")))
+
+
+def _bits(spark, sf_dir, term: str):
+    return ops.bitmaps(_named(spark, sf_dir, term))
+
+
+@query(f"with {T} select 'both' as term, doc_id from ({_set('the')} intersect {_set('and')})")
+def bitmap_run_and(spark, sf_dir):
+    """A bitmap of "the" with runs of "and"."""
+    ids = ops.bitmap_to_ids(_bits(spark, sf_dir, "the")).select(F.lit("both").alias("term"), "doc_id")
+    return ops.points_in_runs(ids, ops.runs(_named(spark, sf_dir, "and")))
+
+
+@query(f"with {T}, {_runs_of(f"{_set('und')} union {_set('and')}")}")
+def bitmap_run_or(spark, sf_dir):
+    """A bitmap of "und" united with runs of "and"."""
+    ids = ops.bitmap_to_ids(_bits(spark, sf_dir, "und")).select(F.lit("both").alias("term"), "doc_id")
+    return ops.interval_union(ops.runs(ids), ops.runs(_named(spark, sf_dir, "and")))
+
+
+@query(f"with {T} {_set('the')} intersect {_set('with')}")
+def array_bitmap_and(spark, sf_dir):
+    """Ids of "with", as an array, looked up in a bitmap of "the"."""
+    return _named(spark, sf_dir, "with").select("doc_id").join(ops.bitmap_to_ids(_bits(spark, sf_dir, "the")), "doc_id", "left_semi")
+
+
+@query(f"with {T} {_bucketed(f"{_set('with')} union {_set('the')}")}")
+def array_bitmap_or(spark, sf_dir):
+    """Ids of "with", as an array, put into a bitmap of "the"."""
+    rows = _bits(spark, sf_dir, "the").unionByName(ops.bitmaps(_named(spark, sf_dir, "with")))
+    return rows.groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+
+
+@query(f"with {T} select doc_id from documents except {_set('the')}")
+def bitmap_not(spark, sf_dir):
+    """The complement of a bitmap of "the" among all documents, as ids."""
+    return ops.bitmap_to_ids(ops.bitmap_not(ops.bitmaps(_docs(spark, sf_dir)), _bits(spark, sf_dir, "the")))
+
+
+@query(f"with {T} {_set('the')}")
+def bitmap_to_array(spark, sf_dir):
+    return ops.bitmap_to_ids(_bits(spark, sf_dir, "the"))
+
+
+@query(f"with {T}, {_runs_of(_set('the'))}")
+def bitmap_to_runs(spark, sf_dir):
+    return ops.runs(ops.bitmap_to_ids(_bits(spark, sf_dir, "the")).select(F.lit("both").alias("term"), "doc_id"))
+
+
+#: Big-endian first 16 bits of SHA-256; below 128 the term gets "salt" behind it and is hashed again.
+KEYED = f"""with recursive {T}, h as (select term, term as salted, ('0x' || substr(sha256(term), 1, 4))::integer as key from (select distinct term from tok)
+union all select term, salted || 'salt', ('0x' || substr(sha256(salted || 'salt'), 1, 4))::integer from h where key < 128),
+keyed as (select term, key from h where key >= 128)"""
+
+
+@query(f"{KEYED} select term, key from keyed")
 def feature_keys(spark, sf_dir):
-    terms = ops.dictionary(tokenize(_docs(spark, sf_dir)))
-    return terms.select("term", feature_key(F.col("term")).alias("key0"), feature_key(F.col("term"), 1).alias("key1"))
+    return ops.dictionary(tokenize(_docs(spark, sf_dir))).select("term", feature_key(F.col("term")).alias("key"))
 
 
-@query(f"with {T} select {_key()} as key, count(distinct doc_id) as n from post group by 1")
+@query(f"{KEYED} select key, count(distinct doc_id) as n from post join keyed using (term) group by 1")
 def hashed_postings(spark, sf_dir):
     """Postings by 16-bit key: what terms that share a key would find together."""
     pairs = _pairs(spark, sf_dir).select(feature_key(F.col("term")).alias("key"), "doc_id").distinct()
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _merged(spark, sf_dir):
-    pairs, parts = _pairs(spark, sf_dir), None
-    for k in range(5):
-        part = lists(pairs.where(F.pmod("doc_id", F.lit(5)) == k))
-        parts = part if parts is None else parts.unionByName(part)
-    return merge_lists(parts)
-
-
-@query(f"with {T} select term, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids, count(*) as n from post group by term")
+@query(f"with {T} select term, doc_id >> 16 as bucket, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids, count(*) as n from post group by all")
 def compacted_segments(spark, sf_dir):
-    """Five segments merged; the whole tables go in, as if every fifth document came with each batch."""
-    found = _merged(spark, sf_dir)
-    return found.select("term", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"), "n")
+    """Five stored segments merged into one of the next level."""
+    found = _store(spark, sf_dir, compacted=True).rows()
+    return found.select("term", "bucket", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"), "n")
 
 
 @query(f"with {T} {_ids("term = 'ering'")}")
 def segment_lookup(spark, sf_dir):
-    """A term over five segments that aren't merged yet."""
-    pairs, parts = _pairs(spark, sf_dir), None
-    for k in range(5):
-        part = lists(pairs.where(F.pmod("doc_id", F.lit(5)) == k))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.where(F.col("term") == "ering").select(F.explode("doc_ids").alias("doc_id")).distinct()
+    """A term over five stored segments that aren't merged yet."""
+    return _store(spark, sf_dir).lookup("ering")
+
+
+@query(f"with {T} {_ids("starts_with(term, 'er') and ends_with(term, 'ing')")}")
+def segment_wildcard(spark, sf_dir):
+    """A prefix and a suffix on stored segments."""
+    return DocIndex.from_postings(_store(spark, sf_dir).postings(), _docs(spark, sf_dir).drop("text")).ids(x.wildcard("er*ing"))

@@ -20,7 +20,23 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
 
 
-def feature_key(term: Column, salt: int = 0) -> Column:
-    """First 16 bits of SHA-256 of the term (and `salt` times the digit 0) as a number."""
-    salted = F.concat(term, F.lit("0" * salt)) if salt else term
-    return F.conv(F.substring(F.sha2(salted, 256), 1, 4), 16, 10).cast("int")
+#: Keys below this one are of other features; what a term is salted with until its key isn't.
+FIRST_KEY, SALT = 128, "salt"
+#: Salts tried; a salt fails for one term in 512, so none is known to need more than 3.
+SALTS = 16
+
+
+def feature_key(term: Column) -> Column:
+    """First 16 bits of SHA-256 of the term as a number, the term salted until that is FIRST_KEY or more."""
+
+    def key(x: Column) -> Column:
+        return F.conv(F.substring(F.sha2(x, 256), 1, 4), 16, 10).cast("int")
+
+    def again(a: Column, _: Column) -> Column:
+        salted = F.when(a["key"] >= FIRST_KEY, a["term"]).otherwise(F.concat(a["term"], F.lit(SALT)))
+        return F.struct(salted.alias("term"), F.when(a["key"] >= FIRST_KEY, a["key"]).otherwise(key(salted)).alias("key"))
+
+    start = F.struct(term.alias("term"), key(term).alias("key"))
+    salted = F.aggregate(F.sequence(F.lit(1), F.lit(SALTS)), start, again, lambda a: a["key"])
+    failed = F.raise_error(F.concat(F.lit("no key for the term "), term)).cast("int")
+    return F.when(key(term) >= FIRST_KEY, key(term)).otherwise(F.when(salted >= FIRST_KEY, salted).otherwise(failed))

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import tokenize, tokens
+from ..sources.segments import bucket_of
+
+
+#: Ids of a bucket.
+BUCKET = 1 << 16
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -15,17 +20,21 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def postings_arrays(pairs: DataFrame) -> DataFrame:
-    """(term, doc_ids, n), newest first."""
+    """(term, bucket, doc_ids, n), newest first; a bucket is 65 536 ids, so lists are bounded."""
     ids = F.sort_array(F.collect_set("doc_id"), False)
-    return pairs.groupBy("term").agg(ids.alias("doc_ids")).withColumn("n", F.size("doc_ids").cast("long"))
+    rows = pairs.groupBy("term", bucket_of(F.col("doc_id")).alias("bucket")).agg(ids.alias("doc_ids"))
+    return rows.withColumn("n", F.size("doc_ids").cast("long"))
 
 
-def doc_frequency(pairs: DataFrame) -> DataFrame:
-    """(term, n) by bitmaps: one of 32 768 ids per term and bucket, counted and summed."""
-    bucket = F.bitmap_bucket_number("doc_id")
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position("doc_id"))
-    per = pairs.groupBy("term", bucket.alias("bucket")).agg(F.bitmap_count(bits).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("n"))
+def doc_frequency(docs: DataFrame) -> DataFrame:
+    """(term, n): documents (of distinct ids) that hold a term; repeats go where a text is read, so only counts travel."""
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_count(docs: DataFrame) -> DataFrame:
+    """n: how many documents NOT is against."""
+    return docs.agg(F.count_distinct("doc_id").alias("n"))
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
@@ -49,10 +58,55 @@ def dictionary_insert(terms: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def runs(pairs: DataFrame) -> DataFrame:
-    """(term, start, length): maximal runs of successive ids; length counts ids."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    islands = pairs.select("term", "doc_id", (F.col("doc_id") - F.row_number().over(w)).alias("_i"))
-    return islands.groupBy("term", "_i").agg(F.min("doc_id").alias("start"), F.count(F.lit(1)).alias("length")).drop("_i")
+    """(term, start, length): maximal runs of successive ids; length counts ids.
+
+    Runs are found bucket by bucket, so a frequent term is worked off in parallel, and
+    those that touch a bucket's edge, two a bucket at most, are put together.
+    """
+    w = Window.partitionBy("term", "_b").orderBy("doc_id")
+    rows = pairs.select("term", "doc_id", bucket_of(F.col("doc_id")).alias("_b"))
+    rows = rows.select("term", "_b", "doc_id", (F.col("doc_id") - F.row_number().over(w)).alias("_i"))
+    return _stitched(rows.groupBy("term", "_b", "_i").agg(F.min("doc_id").alias("start"), F.count(F.lit(1)).alias("length")))
+
+
+def _stitched(rows: DataFrame) -> DataFrame:
+    """Runs (term, start, length) that are maximal but for edges of buckets, made maximal."""
+    end = F.col("start") + F.col("length")
+    inner = (F.pmod("start", F.lit(BUCKET)) != 0) & (F.pmod(end, F.lit(BUCKET)) != 0)
+    w = Window.partitionBy("term", "_alone").orderBy("start")
+    rows = rows.select("term", "start", "length", F.when(inner, F.col("start")).alias("_alone"))
+    opens = F.coalesce(F.lag(end).over(w) != F.col("start"), F.lit(True))
+    rows = rows.withColumn("_opens", opens).withColumn("_i", F.sum(F.col("_opens").cast("long")).over(w))
+    rows = rows.groupBy("term", "_alone", "_i").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    return rows.select("term", "start", "length")
+
+
+def _pieces(run_rows: DataFrame) -> DataFrame:
+    """Runs cut at the edges of buckets: (term, _b, s, e), e exclusive."""
+    last = F.col("start") + F.col("length") - 1
+    cut = run_rows.select("term", "start", last.alias("_last"), F.explode(F.sequence(bucket_of(F.col("start")), bucket_of(last))).alias("_b"))
+    return cut.select(
+        "term", "_b", F.greatest("start", F.col("_b") * BUCKET).alias("s"), F.least(F.col("_last") + 1, (F.col("_b") + 1) * BUCKET).alias("e")
+    )
+
+
+def _swept(sides: list[tuple[DataFrame, int]], least: int) -> DataFrame:
+    """Runs of the ids whose sides' weights sum to `least` or more; a side's runs (term, start, length) are disjoint.
+
+    Both ends of every run are sorted within its bucket and swept once; no id is listed.
+    """
+    ends = None
+    for rows, weight in sides:
+        p = _pieces(rows)
+        both = F.array(F.struct(F.col("s").alias("at"), F.lit(weight).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-weight).alias("d")))
+        p = p.select("term", "_b", F.explode(both).alias("x")).select("term", "_b", "x.at", "x.d")
+        ends = p if ends is None else ends.unionByName(p)
+    w = Window.partitionBy("term", "_b").orderBy("at")
+    steps = ends.groupBy("term", "_b", "at").agg(F.sum("d").alias("d"))
+    steps = steps.withColumn("_in", F.sum("d").over(w) >= least)
+    turns = steps.withColumn("_was", F.coalesce(F.lag("_in").over(w), F.lit(False))).where(F.col("_in") != F.col("_was"))
+    turns = turns.withColumn("_to", F.lead("at").over(w)).where("_in")
+    return _stitched(turns.select("term", F.col("at").alias("start"), (F.col("_to") - F.col("at")).alias("length")))
 
 
 def expand_runs(run_rows: DataFrame) -> DataFrame:
@@ -97,5 +151,45 @@ def bitmap_or(operands: list[DataFrame]) -> DataFrame:
 
 def interval_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Runs common to two sets of runs (term, start, length), term by term."""
-    both = expand_runs(a).intersect(expand_runs(b))
-    return runs(both)
+    return _swept([(a, 1), (b, 1)], 2)
+
+
+def interval_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Runs of the ids in either of two sets of runs (term, start, length), term by term."""
+    return _swept([(a, 1), (b, 1)], 1)
+
+
+def interval_not(universe: DataFrame, a: DataFrame) -> DataFrame:
+    """Runs of the ids of `universe` that aren't in `a`, both runs (term, start, length)."""
+    return _swept([(universe, 1), (a, -1)], 1)
+
+
+def as_points(pairs: DataFrame) -> DataFrame:
+    """Distinct ids (term, doc_id) as runs of one."""
+    return pairs.select("term", F.col("doc_id").alias("start"), F.lit(1).cast("long").alias("length"))
+
+
+def points_in_runs(pairs: DataFrame, run_rows: DataFrame) -> DataFrame:
+    """Those of the distinct (term, doc_id) that a run of their term covers."""
+    return expand_runs(interval_intersect(as_points(pairs), run_rows))
+
+
+def bitmaps(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): ids (doc_id) as bitmaps of 32 768."""
+    return _bitmaps(ids)
+
+
+def bitmap_not(universe: DataFrame, ids: DataFrame) -> DataFrame:
+    """(bucket, bits) of `universe` without `ids`, both (bucket, bits)."""
+    flipped = F.unhex(F.translate(F.hex("bits"), "0123456789ABCDEF", "FEDCBA9876543210"))
+    rows = universe.select("bucket", "bits", F.lit(1).alias("own")).unionByName(ids.select("bucket", flipped.alias("bits"), F.lit(0).alias("own")))
+    found = rows.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.max("own").alias("own"))
+    return found.where("own = 1").select("bucket", "bits")
+
+
+def bitmap_to_ids(rows: DataFrame) -> DataFrame:
+    """doc_id of the one bits of bitmaps (bucket, bits)."""
+    byte = lambda p: F.conv(F.hex(F.substring(F.col("bits"), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    places = F.filter(F.sequence(F.lit(0), F.lit(32767)), lambda p: F.getbit(byte(p), F.pmod(p, F.lit(8))) == 1)
+    at = rows.select("bucket", F.explode(places).alias("p"))
+    return at.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("p") + 1).otherwise(F.col("bucket") * 32768 - F.col("p")).alias("doc_id"))

@@ -1,89 +1,87 @@
-"""Postings stored as segments of sorted Parquet, merged from time to time.
-
-A segment is a folder `segment=<id>` with (term, rterm, doc_ids, n), range-partitioned
-and sorted by term, so that a term or prefix touches few row groups; a Parquet bloom
-filter on term spares the rest.  Segments appear by one rename.  A compacted segment
-lists in `_merged` those that it stands for, which don't count from then on; so a
-reader sees the old ones or the new one, and ids never get lost or counted twice.
+"""Postings stored as segments of sorted Parquet, merged level by level.
+
+A segment is a folder `segment=<level>~<id>` with (term, rterm, bucket, doc_ids, n),
+range-partitioned and sorted by term, so that a term or prefix touches few row groups;
+a Parquet bloom filter on term spares the rest.  A list holds the ids of one bucket of
+65 536, so no row grows with the corpus.  Segments appear by one rename.  New ones are
+of level 0; once a level has `fan_in` of them, they are merged into one of the next
+level, so an id is rewritten once a level.  A merged segment lists in `_merged` those
+that it stands for, which don't count from then on; so a reader sees the old ones or the
+new one, and ids never get lost or counted twice.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "term string, rterm string, doc_ids array<bigint>, n bigint"
+from .shared import hadoop, note_of, publish
+
+SCHEMA = "term string, rterm string, bucket bigint, doc_ids array<bigint>, n bigint"
+
+
+def bucket_of(doc_id: Column) -> Column:
+    """65 536 successive ids make a bucket."""
+    return F.shiftright(doc_id, 16)
 
 
 def merge_lists(rows: DataFrame) -> DataFrame:
-    """One list of ids per term from many, sorted and distinct."""
-    pairs = rows.select("term", "rterm", F.explode("doc_ids").alias("doc_id"))
-    return lists(pairs)
+    """One list of ids per term and bucket from many, sorted and distinct."""
+    return lists(rows.select("term", "rterm", F.explode("doc_ids").alias("doc_id")))
 
 
 def lists(pairs: DataFrame) -> DataFrame:
-    """(term, rterm, doc_ids, n) of postings."""
+    """(term, rterm, bucket, doc_ids, n) of postings."""
     ids = F.array_sort(F.collect_set("doc_id"))
-    return pairs.groupBy("term").agg(F.first("rterm").alias("rterm"), ids.alias("doc_ids")).withColumn("n", F.size("doc_ids").cast("long"))
+    rows = pairs.groupBy("term", bucket_of(F.col("doc_id")).alias("bucket")).agg(F.first("rterm").alias("rterm"), ids.alias("doc_ids"))
+    return rows.select("term", "rterm", "bucket", "doc_ids", F.size("doc_ids").cast("long").alias("n"))
 
 
 class SegmentStore:
     def __init__(self, spark: SparkSession, folder: str, fan_in: int = 5):
         self.spark, self.folder, self.fan_in = spark, folder.rstrip("/"), fan_in
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _listed(self) -> tuple[list[str], set[str]]:
         """Segments that count, and those that others stand for."""
-        p, fs = self._fs(self.folder)
+        p, fs = hadoop(self.spark, self.folder)
         if not fs.exists(p):
             return [], set()
         names = {s.getPath().getName().removeprefix("segment=") for s in fs.listStatus(p) if s.getPath().getName().startswith("segment=")}
-        merged: set[str] = set()
-        for name in names:
-            note, _ = self._fs(f"{self.folder}/segment={name}/_merged")
-            if fs.exists(note):
-                stream = fs.open(note)
-                try:
-                    merged |= set(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
-                finally:
-                    stream.close()
+        merged = {m for name in names if not name.startswith("0~") for m in note_of(self.spark, f"{self.folder}/segment={name}/_merged").split()}
         return sorted(names - merged), merged
 
     def segments(self) -> list[str]:
         return self._listed()[0]
 
+    def levels(self) -> dict[int, list[str]]:
+        """Segments by level."""
+        out: dict[int, list[str]] = {}
+        for name in self.segments():
+            out.setdefault(int(name.split("~")[0]), []).append(name)
+        return out
+
     def _put(self, rows: DataFrame, name: str, merged: set[str] = frozenset()) -> bool:
-        target, fs = self._fs(f"{self.folder}/segment={name}")
-        if fs.exists(target) or name in self._listed()[1]:
-            return False
-        own = f"{self.folder}/tmp/{uuid.uuid4().hex}"
-        (
-            rows.repartitionByRange("term")
-            .sortWithinPartitions("term")
-            .write.option("parquet.bloom.filter.enabled#term", "true")
-            .option("parquet.bloom.filter.expected.ndv#term", "1000000")
-            .parquet(own)
-        )
-        if merged:
-            out = fs.create(self._fs(f"{own}/_merged")[0])
-            out.write(bytearray("\n".join(sorted(merged)).encode()))
-            out.close()
-        return fs.rename(self._fs(own)[0], target)
+        # The bloom filter takes the size that fits the terms of a file.
+        options = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        note = ("_merged", "\n".join(sorted(merged))) if merged else None
+        rows = rows.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
+        return publish(self.spark, rows, f"{self.folder}/segment={name}", f"{self.folder}/tmp", lambda w: w.options(**options), note)
 
     def append(self, pairs: DataFrame, name: str) -> bool:
         """Store postings (term, rterm, doc_id); False if the segment is there already."""
-        return self._put(lists(pairs), name)
+        if f"0~{name}" in self._listed()[1]:
+            return False
+        return self._put(lists(pairs), f"0~{name}")
+
+    def _rows(self, names: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/segment={s}" for s in names]
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def rows(self) -> DataFrame:
-        """All segments' rows; a term has one in each segment that holds it."""
-        paths = [f"{self.folder}/segment={s}" for s in self.segments()]
-        reader = self.spark.read.schema(SCHEMA)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        """All segments' rows; a term has one a bucket in each segment that holds it."""
+        return self._rows(self.segments())
 
     def postings(self) -> DataFrame:
         """(term, rterm, doc_id) of all segments; filters on term reach the files."""
@@ -93,18 +91,29 @@ class SegmentStore:
         """Distinct doc_ids of a term over all segments."""
         return self.rows().where(F.col("term") == term).select(F.explode("doc_ids").alias("doc_id")).distinct()
 
-    def compact(self, force: bool = False) -> bool:
-        """Merge the segments once there are `fan_in` of them."""
-        names, merged = self._listed()
-        if len(names) < (2 if force else self.fan_in):
-            return False
-        if not self._put(merge_lists(self.rows()), uuid.uuid4().hex, merged | set(names)):
+    def _merge(self, names: list[str], level: int) -> bool:
+        old = {m for n in names for m in note_of(self.spark, f"{self.folder}/segment={n}/_merged").split()}
+        if not self._put(merge_lists(self._rows(names)), f"{level}~{uuid.uuid4().hex}", old | set(names)):
             return False
         for name in names:
-            p, fs = self._fs(f"{self.folder}/segment={name}")
+            p, fs = hadoop(self.spark, f"{self.folder}/segment={name}")
             fs.delete(p, True)
         return True
 
+    def compact(self, force: bool = False) -> bool:
+        """Merge every level that has `fan_in` segments into the next, from the lowest up; with
+        `force`, all segments into one.  For a single maintainer."""
+        if force:
+            names = self.segments()
+            return len(names) > 1 and self._merge(names, max(self.levels()) + 1)
+        level, done = 0, False
+        while level <= max(self.levels(), default=-1):
+            own = self.levels().get(level, [])
+            if len(own) >= self.fan_in:
+                done = self._merge(own, level + 1) or done
+            level += 1
+        return done
+
     def clear(self) -> None:
-        p, fs = self._fs(self.folder)
+        p, fs = hadoop(self.spark, self.folder)
         fs.delete(p, True)
