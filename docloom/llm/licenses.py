@@ -6,22 +6,27 @@ the gaps between anchors are aligned in the same way; where a gap has no anchor,
 equal words at its two ends count.  The share of the template's words that is
 aligned is its coverage; from `threshold` on the license is found.
 
-Words that repeat in a long text couldn't anchor, so the alignment runs in windows
-around the places where a window could reach the threshold: a text that covers so
-much of a template must bear one of any (1 - threshold) L + 1 of its words, and the
-rarest are looked for.  Texts without any of them are passed over, others lose
-nothing.  Work is linear in a text; nothing is shuffled.
-
-Defined cases.  Null or empty text: no license, coverage 0.  Of templates with equal
-coverage the longest, then the first by name, is the best; "All rights reserved" comes
-after all licenses.  Repeated rows and null
-ids: each row on its own.  Empty table: no rows.  Extra columns are ignored.
+A template's occurrences are found one by one.  A text that covers so much of a template
+must bear one of any (1 - threshold) L + 1 of its words; the rarest of these are looked
+for, and each place of one tells where the template would begin.  Around the beginnings
+that most words agree on, spans of about one template length are aligned (up to half a
+length more, for words put in), and what is found is passed over from then on, so
+repeated notices don't blur each other.  Texts without any of the words are passed over.
+
+Where spans of several templates overlap, the one with the most words aligned counts,
+then the one that is covered better: a notice of "CC BY-NC" isn't one of "CC BY".
+
+Defined cases.  Null or empty text: no license, coverage 0.  Of several licenses in a
+text the one with the greatest coverage, then the longest, then the first by name, is
+the best; "All rights reserved" comes after all licenses.  Very long text: work grows
+with the text and the places of rare words in it.  Repeated rows and null ids: each row
+on its own.  Empty table: no rows.  Extra and clashing columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from math import ceil
 
@@ -68,13 +73,71 @@ TEMPLATES = {
         " with the distribution."
     ),
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL": (
+    "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
         " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
         " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
         " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public"
         " License for more details."
     ),
+    "GPL-2.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public"
+        " License for more details."
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
+        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public"
+        " License for more details."
+    ),
+    "LGPL-2.1": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
+        " License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public"
+        " License for more details."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public"
+        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public"
+        " License for more details."
+    ),
+    "GPL-3.0 text": (
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not"
+        " allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."
+    ),
+    "GPL-2.0 text": (
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU"
+        " General Public License is intended to guarantee your freedom to share and change free software--to make sure the"
+        " software is free for all its users."
+    ),
+    "LGPL-3.0 text": (
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU"
+        " General Public License, supplemented by the additional permissions listed below."
+    ),
+    "AGPL-3.0 text": (
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,"
+        " specifically designed to ensure cooperation with the community in the case of network server software."
+    ),
+    "Apache-2.0 text": (
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and"
+        " conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"
+        " which is available at http://www.eclipse.org/legal/epl-2.0"
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+        " derived from this software without specific prior written permission."
+    ),
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
         " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -158,77 +221,75 @@ class Scanner:
                     break
         self.any = re.compile(b"|".join(re.escape(w) for w in sorted(self.seeds, key=len, reverse=True)))
 
-    def _windows(self, places: list[int], size: int, end: int):
-        """Spans of four template lengths, half overlapping, that cover the surroundings of the places."""
-        last = -1
-        for p in places:
-            if p + size <= last:
-                continue
-            start = max(0, p - 2 * size)
-            last = min(end, p + 2 * size)
-            yield start, last
-
-    def _aligned(self, words: list[bytes], start: int, end: int, template: list[bytes]) -> tuple[float, int, int] | None:
-        """(coverage, first word, last word) of the template in a span."""
-        pairs = align(words[start:end], template)
-        # Words strewn over a wide stretch of text are no notice.
-        near = [p for p in pairs if abs((p[0] - pairs[len(pairs) // 2][0]) - (p[1] - pairs[len(pairs) // 2][1])) <= self._drift(template)]
-        return (len(near) / len(template), start + near[0][0], start + near[-1][0]) if near else None
-
-    @staticmethod
-    def _drift(template: list[bytes]) -> int:
-        return max(0, min(max(3, len(template) // 2), len(template) - 2))
-
-    def _single(self, words: list[bytes], start: int, end: int, name: str, share: float):
-        """What spans of about one template length have, where the window bears more than the share."""
+    def _occurrences(self, name: str, words: list[bytes], seen: list[int]):
+        """(words aligned, first word, last word) of the template's occurrences; `seen` has the places of its rare words."""
         template = self.templates[name]
         size, of = len(template), Counter(template)
-
-        def borne(a: int, b: int) -> int:
-            held = Counter(words[a:b])
-            return sum(min(n, held[w]) for w, n in of.items())
-
-        def enough(n: int) -> bool:
-            return n > share * size and n >= self.threshold * size
-
-        if not enough(borne(start, end)):
-            return
+        least = ceil(self.threshold * size)
+        # Words strewn over a wide stretch of text are no notice.
+        drift = max(0, min(max(3, size // 2), size - 2))
         at: dict[bytes, list[int]] = defaultdict(list)
         for j, w in enumerate(template):
             if name in self.seeds.get(w, ()):
                 at[w].append(j)
-        begins = Counter(i - j for i in range(start, end) for j in at.get(words[i], ()))
-        # Where most words agree first; wider spans hold copies with words put in.
-        drifts = sorted({0, size // 8, size // 4, self._drift(template)})
-        for begin, _ in sorted(begins.items(), key=lambda x: (-x[1], x[0])):
-            for d in drifts:
-                a, b = max(start, begin - d), min(end, begin + size + d)
-                if enough(borne(a, b)) and (found := self._aligned(words, a, b, template)):
-                    yield found
-                    share = max(share, found[0])
-            if share >= 1:
-                return
-
-    def scan(self, text: bytes) -> list[tuple[float, str, int, int]]:
-        """(coverage, license, first word, last word) of all licenses found, best first."""
-        if not self.any.search(text.lower()):
-            return []
-        words = words_of(text)
+        votes = Counter(i - j for i in seen for j in at[words[i]])
+        taken: list[tuple[int, int]] = []  # sorted, disjoint
+
+        def free(begin: int, end: int) -> tuple[int, int]:
+            """The part of a span around its middle that no occurrence has taken."""
+            k = bisect_left(taken, ((begin + end) // 2, 0))
+            if k and taken[k - 1][1] > begin:
+                begin = taken[k - 1][1]
+            if k < len(taken) and taken[k][0] < end:
+                end = taken[k][0]
+            return begin, end
+
+        # Beginnings that most rare words agree on first.
+        for begin, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+            best = None
+            for d in sorted({0, size // 8, size // 4, drift}):
+                a, b = free(max(0, begin - d), min(len(words), begin + size + d))
+                held = Counter(words[a:b])
+                if sum(min(n, held[w]) for w, n in of.items()) < least:
+                    continue
+                pairs = align(words[a:b], template)
+                middle = pairs[len(pairs) // 2] if pairs else (0, 0)
+                near = [p for p in pairs if abs((p[0] - middle[0]) - (p[1] - middle[1])) <= drift]
+                if len(near) >= least and (best is None or len(near) > best[0]):
+                    best = (len(near), a + near[0][0], a + near[-1][0])
+                    if best[0] == size:
+                        break
+            if best:
+                insort(taken, (best[1], best[2] + 1))
+                yield best
+
+    def occurrences(self, words: list[bytes]) -> list[tuple[float, str, int, int]]:
+        """(coverage, license, first word, last word) in the order of the text; spans don't overlap."""
         places: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             for name in self.seeds.get(w, ()):
                 places[name].append(i)
-        out = []
-        for name, at in places.items():
-            template, best = self.templates[name], None
-            for start, end in self._windows(at, len(template), len(words)):
-                whole = self._aligned(words, start, end, template)
-                for found in (whole, *self._single(words, start, end, name, whole[0] if whole else 0)):
-                    if found and (best is None or found[0] > best[0]):
-                        best = found
-            if best and best[0] >= self.threshold:
-                out.append((best[0], name, best[1], best[2]))
-        return sorted(out, key=lambda x: (x[1] == LAST, -x[0], -len(self.templates[x[1]]), x[1]))
+        found = [
+            (n, n / len(self.templates[name]), name, first, last)
+            for name, seen in places.items()
+            for n, first, last in self._occurrences(name, words, seen)
+        ]
+        kept: list[tuple[int, int, float, str]] = []
+        for n, share, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            k = bisect_left(kept, (first,))
+            if (k == 0 or kept[k - 1][1] < first) and (k == len(kept) or kept[k][0] > last):
+                kept.insert(k, (first, last, share, name))
+        return [(share, name, first, last) for first, last, share, name in kept]
+
+    def scan(self, text: bytes) -> list[tuple[float, str, int, int]]:
+        """(coverage, license, first word, last word) of each license's best occurrence, best first."""
+        if not self.any.search(text.lower()):
+            return []
+        best: dict[str, tuple[float, str, int, int]] = {}
+        for found in self.occurrences(words_of(text)):
+            if found[1] not in best or found[0] > best[found[1]][0]:
+                best[found[1]] = found
+        return sorted(best.values(), key=lambda x: (x[1] == LAST, -x[0], -len(self.templates[x[1]]), x[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

@@ -312,6 +312,38 @@ def test_repeated_licenses_inside_a_text():
     assert not scanner.scan(f"{filler} {' '.join(sorted(mit.split()))} {filler}".encode())
 
 
+def test_licenses_that_contain_each_other():
+    scanner, filler = licenses.Scanner(), " ".join(f"filler{k}" for k in range(200))
+    for name, text in licenses.TEMPLATES.items():
+        found = scanner.scan(f"{filler} {text} {filler} {text}".encode())
+        assert [f[:2] for f in found] == [(1.0, name)], (name, found)
+    both = scanner.scan(f"{filler} Licensed under CC BY 4.0 {filler} Licensed under CC BY-NC 4.0".encode())
+    assert {f[1] for f in both} == {"CC-BY-4.0 notice", "CC-BY-NC-4.0 notice"}
+    assert [f[1] for f in scanner.scan(b"a Licensed under CC BY-NC 4.0 hello Licensed under CC BY-NC 4.0 there")] == ["CC-BY-NC-4.0 notice"]
+
+
+def test_licenses_against_all_spans():
+    """One to five copies with words put in, left out and replaced; every span is aligned."""
+    import random
+
+    r, threshold = random.Random(11), 0.8
+    for _ in range(150):
+        size = r.randrange(5, 14)
+        template = [f"t{r.randrange(size)}" for _ in range(size)]
+        text: list[str] = []
+        for _ in range(r.randrange(1, 6)):
+            copy = list(template)
+            for _ in range(r.randrange(3)):
+                k = r.randrange(len(copy))
+                copy[k : k + 1] = r.choice(([], ["new"], [copy[k], "more"]))
+            text += [f"f{r.randrange(99)}" for _ in range(r.randrange(4))] + copy
+        words, own = [w.encode() for w in text], [w.encode() for w in template]
+        spans = [(len(licenses.align(words[a:b], own)) / size) for a in range(len(words)) for b in range(a + 1, min(len(words), a + size + 2) + 1)]
+        found = licenses.Scanner({"x": " ".join(template)}, threshold).scan(" ".join(text).encode())
+        assert bool(found) == (max(spans) >= threshold), (template, text)
+        assert not found or found[0][0] >= max(spans) - 1 / size - 1e-9, (template, text, found, max(spans))
+
+
 def test_all_rights_reserved():
     scanner = licenses.Scanner()
     assert [f[:2] for f in scanner.scan(b"one two\nAll rights reserved.\nthree")] == [(1.0, "All rights reserved")]
