@@ -3,9 +3,11 @@
 import hashlib
 import io
 import struct
+from html.parser import HTMLParser
 
 import pytest
 import zstandard
+from oracle import data_dir
 
 from docloom.llm import html_extract, warc
 from docloom.llm.html_extract import main_text
@@ -36,6 +38,83 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+LONG = "This paragraph is long enough to count, with commas, and it goes on for a while, as articles do, and then some more."
+LINKS = "".join(f"<li><a href=/{k}>Source number {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Headings, intros and ends beside the best container.
+        (f"<body><div><h1>Title</h1><div>{ARTICLE}</div><div><p>The end.</p></div></div></body>", f"Title\n\n{TEXT}\n\nThe end."),
+        (f"<body><div><div><h1>Title</h1></div><div>{ARTICLE}</div><p>Short.</p></div></body>", f"Title\n\n{TEXT}\n\nShort."),
+        (f"<body><div><div><p>{LONG}</p></div><div>{ARTICLE}</div><div><p>{LONG}</p></div></div></body>", f"{LONG}\n\n{TEXT}\n\n{LONG}"),
+        # Words of classes that only sound like clutter.
+        (f"<article><div class='share-price'>Up, 3 %</div>{ARTICLE}<p class='related-work'>Others, too.</p></article>", f"Up, 3 %\n\n{TEXT}\n\nOthers, too."),
+        (f"<article>{ARTICLE}<div class='social-share'>Share this</div><section class='post-comments'><p>Nice, very, nice.</p></section></article>", TEXT),
+        # Sources of an article.
+        (f"<article>{ARTICLE}<h2>Sources</h2><ul>{LINKS}</ul></article>", TEXT + "\n\nSources\n\n" + "\n\n".join(f"Source number {k}" for k in range(5))),
+        # Menus and imprints without a name.
+        (f"<body><div><ul>{LINKS}</ul>{ARTICLE}<ul>{LINKS}</ul></div></body>", TEXT),
+        (f"<body><div><div>{ARTICLE}</div><div>© 2024 Example, all rights reserved, and more, of that.</div><div>{LINKS}</div></div></body>", TEXT),
+    ],
+)
+def test_nothing_of_the_article_is_lost(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "', "<p><button><b>x<div></div>", '<a b="', "<a b='x\"", "<b>x", "<", "<a ", "</", "<!-- ", "<![", "<div class='a", "<script>", "</script", "<li><ul>", "<td><b>", "&", "&amp", "<a b=\"'>", "<p>", "<svg>", "a= ", "<dd><i>t"],
+)
+def test_time_grows_with_the_page(piece):
+    import time
+
+    page, start = piece * (5_000_000 // len(piece)), time.process_time()
+    assert main_text(page) is not None
+    assert time.process_time() - start < 30  # seconds if quadratic: hours
+
+
+class Plain(HTMLParser):
+    """Text of the article by the standard library's parser, for pages whose clutter stands outside."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.inside = [], [], False
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in html_extract.BLOCK:
+            self.flush()
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.flush()
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_pages_against_the_standard_parser(spark):
+    pages = spark.read.parquet(data_dir("sf0.01") + "/pages.parquet")
+    found = {r.page_id: r.text for r in html_extract.report(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.flush()
+        assert found[r.page_id] == "\n\n".join(plain.blocks), r.page_id
+
+
 def test_deep_and_hostile_pages():
     assert main_text("<div>" * 20_000 + "<p>deep, text</p>") == "deep, text"
     assert main_text("</p></div>" * 5_000 + "<p>end") == "end"
