@@ -3,14 +3,17 @@
 Every stage takes the documents that the stage before it kept and returns documents;
 the last returns what the mix takes of each.  The language model that the first
 stage uses is fitted on rows whose ids aren't in the held-out fold.
+
+Defined cases.  Null, empty, word-less or letter-less texts: rejected by the first stage.
+Very long texts, ties, repeated rows, null ids: as the stages' operators say.  Empty
+tables: no rows.  Extra and clashing columns are kept by all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from docloom.llm import decontaminate, langid, line_dedup, mixture, ngram_join
-from docloom.llm.common import shared_dir, ship, table
+from docloom.llm.common import ship, table
+from docloom.sources.shared import hadoop, passing_folder
 
 
 def identify_language(spark, docs, sf_dir):
@@ -55,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The mix of `documents`; a stage's table goes when the next one is written, the last with the session."""
+    folder = passing_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            path, fs = hadoop(spark, f"{folder}/{k - 1}")
+            fs.delete(path, True)
     return docs
