@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import hadoop, passing_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -61,6 +62,21 @@ def alnum_words(c: Column) -> Column:
     return _no_empty(F.split(c, NON_WORD))
 
 
+def flags(numbers: str) -> Column:
+    """A column of sorted distinct numbers as bytes, a 1 at each number: one look tells whether a number is there."""
+
+    def gap(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col(numbers), i.cast("int") - 1), F.lit(-1))
+        return F.concat(F.repeat(F.lit("0"), (x - before - 1).cast("int")), F.lit("1"))
+
+    return F.array_join(F.transform(numbers, gap), "").cast("binary")
+
+
+def flagged(marks: Column, i: Column) -> Column:
+    """Whether the flags have number i (an int)."""
+    return F.substring(marks, i + 1, F.lit(1)) == F.lit(b"1")
+
+
 def text_key(c: Column) -> list[Column]:
     """128 bits of a text as two longs, `_k1` and `_k2`.  Null and empty differ.
 
@@ -84,16 +100,6 @@ def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -106,13 +112,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
-        path, fs = self._fs(self.folder)
-        fs.deleteOnExit(path)
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.spark, self.folder, self.tables = spark, passing_folder(spark, "scratch"), {}
 
     def settle(self, df: DataFrame) -> DataFrame:
         """The shuffles that led here are removed at once; nothing reads them again."""
@@ -130,7 +130,7 @@ class Scratch:
         """Remove tables that nothing will read again."""
         for path in [p for p, t in self.tables.items() if any(t is x for x in tables)]:
             self.tables[path] = None
-            p, fs = self._fs(path)
+            p, fs = hadoop(self.spark, path)
             fs.delete(p, True)
 
     def close(self, *kept: DataFrame) -> None:

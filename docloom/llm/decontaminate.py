@@ -12,8 +12,10 @@ cut by hash into slices of that size and the documents are scanned once per slic
 Defined cases.  Null, empty or word-less text: no words, never contaminated.  An
 item without words has no windows.  A null item id marks words as hit but is not
 counted or listed.  Equal ids or texts among items count once per id.  Rows equal
-in doc_id and text are scanned once and reported as often as they occur.  Extra
-columns are ignored by `find_hits` and kept by `remove_contaminated`.
+in doc_id and text are scanned once and reported as often as they occur.  Very long
+text: its words are streamed, its hits gathered in its row.  Ties: of a window's longest
+words the first starts the probe.  Empty tables: no rows, or nothing contaminated.  Extra
+and clashing columns are ignored by `find_hits` and kept by `remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, packed, settle, text_key, unpacked
+from .common import alnum_words, ascii_lower, flagged, flags, packed, settle, text_key, unpacked
 
 KEY = ["doc_id", "_k1", "_k2"]
 
@@ -184,17 +186,16 @@ def remove_contaminated(
     word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     other = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
     joined = packed(docs).alias("d").join(bad.select(*KEY, "spans").alias("b"), on, "left").select("row", "spans")
+    # Hit words as flags: one look a word.
+    hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))
+    joined = joined.withColumn("hit", F.array_sort(F.array_distinct(hit))).withColumn("flags", flags("hit"))
     pieces = F.regexp_extract_all("row.text", F.lit(f"{word}|{other}"), F.lit(0))
     joined = joined.withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces))
     # Words and separators alternate: two places for each word, and one for a lead.
     lead = F.when(F.element_at("pieces", 1).rlike(f"^{word}"), 0).otherwise(1)
     joined = joined.withColumn("lead", lead)
     kept = F.filter(
-        "pieces",
-        lambda _, i: ~F.exists(
-            "spans",
-            lambda s: (i - F.col("lead") >= s["pos"] * 2) & (i - F.col("lead") < (s["pos"] + s["len"]) * 2),
-        ),
+        "pieces", lambda _, i: (i < F.col("lead")) | ~flagged(F.col("flags"), F.floor((i - F.col("lead")) / 2).cast("int"))
     )
     out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "")))
     new = {"text": F.col("text")}

@@ -11,8 +11,10 @@ the good documents of every stratum.  A rule without a certified cutoff is silen
 
 Defined cases.  Null, empty or word-less text: no words, base_failed.  Null stratum:
 one of its own.  A null label is no label; of repeated labels the best one counts.
-Repeated rows are documents of their own.  Empty tables: no rows, or no cutoffs.
-Extra columns are ignored by `judge` and kept by `keep_good`.
+Repeated rows are documents of their own.  Very long text: its windows are counted in
+its row.  Ties: a score equal to a cutoff isn't rejected.  Empty tables: no rows, or no
+cutoffs.  Extra and clashing columns are ignored.  A stratum with few good labels (under
+597 with these grids and four strata) has no certified cutoff at all.
 """
 
 from __future__ import annotations

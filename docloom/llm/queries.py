@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from . import (
     decontaminate,
     html_extract,
@@ -16,7 +14,8 @@ from . import (
     token_rollup,
     warc,
 )
-from .common import shared_dir, table
+from ..sources.shared import passing_folder
+from .common import table
 from .oracles import ORACLES as ORACLES
 
 
@@ -49,8 +48,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def op3_token_counts(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    return token_rollup.report(table(spark, sf_dir, "documents"), folder)
+    return token_rollup.report(table(spark, sf_dir, "documents"), passing_folder(spark, "rollup"))
 
 
 def op5_warc(spark, sf_dir):

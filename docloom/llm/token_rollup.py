@@ -4,13 +4,14 @@ A batch is reduced to a delta per source, language and tokenizer version: insert
 documents add their tokens, deleted ones take them away and revised ones add the
 difference.  Deltas are stored a folder per batch; a folder appears by one rename,
 so a batch is there as a whole or not at all, and committing it again changes
-nothing.  Totals are sums of deltas, in any order; `compact` folds deltas into one.
+nothing.  Of two writers of a batch that meet, the first rename wins.  Totals are sums of deltas, in any order; `compact` folds deltas into one.
 
 Counting never shuffles texts.  Deltas are summed before the shuffle, so a source
 with a third of all rows sends a row a task.
 
 Defined cases.  Null or empty text: 0 tokens.  Null source or language: a group of
-its own.  Repeated rows count as often as they occur.  An empty batch commits.
+its own.  Very long text: whole in one row.  Ties: none, sums have no order.  Extra and
+clashing columns are ignored.  An empty table: no totals.  Repeated rows count as often as they occur.  An empty batch commits.
 Totals of a group may be negative if its deletes come first.
 """
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import hadoop, note_of, publish
 from .common import ship, space_words
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -38,7 +40,7 @@ def words(text: Column) -> Column:
     return F.size(space_words(text)).cast("long")
 
 
-def byte_pairs(spark: SparkSession, vocabulary: str = VOCABULARY):
+def byte_pairs(spark: SparkSession, vocabulary: str):
     """A counter of byte-pair tokens; the file of ranks is read here and sent to the executors."""
     ship(spark)
     ranks = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
@@ -82,45 +84,26 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _folders(self) -> tuple[list[str], set[str]]:
         """Batches that count, and ids of all that were ever committed.
 
         A folded batch lists in `_folds` what it stands for; those don't count any more.
         """
-        p, fs = self._fs(f"{self.folder}/deltas")
+        p, fs = hadoop(self.spark, f"{self.folder}/deltas")
         if not fs.exists(p):
             return [], set()
         there = {s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")}
-        folded: set[str] = set()
-        for name in there:
-            if name.startswith("folded-"):
-                stream = fs.open(self._fs(f"{self.folder}/deltas/batch={name}/_folds")[0])
-                try:
-                    folded |= set(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
-                finally:
-                    stream.close()
+        folded = {x for name in there if name.startswith("folded-") for x in note_of(self.spark, f"{self.folder}/deltas/batch={name}/_folds").split()}
         return sorted(there - folded), there | folded
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of signed rows (GROUP, docs, tokens); False if it is there already."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id) or batch_id.startswith("folded-"):
             raise ValueError(f"a batch id is letters, digits, _, . and -, not {batch_id!r}")
-        target, fs = self._fs(f"{self.folder}/deltas/batch={batch_id}")
         if batch_id in self._folders()[1]:
             return False
         delta = changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        own = f"{self.folder}/tmp/{uuid.uuid4().hex}"
-        delta.write.parquet(own)
-        fs.mkdirs(target.getParent())
-        # Into a folder that is there a rename would move the batch below it.
-        if fs.exists(target) or not fs.rename(self._fs(own)[0], target):
-            fs.delete(self._fs(own)[0], True)
-            return False
-        return True
+        return publish(self.spark, delta, f"{self.folder}/deltas/batch={batch_id}", f"{self.folder}/tmp")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of the groups that have documents or tokens."""
@@ -139,15 +122,12 @@ class TokenRollup:
         batches, ids = self._folders()
         if len(batches) < 2:
             return
-        own, name = f"{self.folder}/tmp/{uuid.uuid4().hex}", f"folded-{uuid.uuid4().hex}"
-        self.totals().select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(own)
-        p, fs = self._fs(f"{own}/_folds")
-        out = fs.create(p)
-        out.write(bytearray("\n".join(sorted(ids)).encode()))
-        out.close()
-        fs.rename(self._fs(own)[0], self._fs(f"{self.folder}/deltas/batch={name}")[0])
-        for b in batches:
-            fs.delete(self._fs(f"{self.folder}/deltas/batch={b}")[0], True)
+        rows = self.totals().select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"))
+        name = f"{self.folder}/deltas/batch=folded-{uuid.uuid4().hex}"
+        if publish(self.spark, rows, name, f"{self.folder}/tmp", note=("_folds", "\n".join(sorted(ids)))):
+            for b in batches:
+                p, fs = hadoop(self.spark, f"{self.folder}/deltas/batch={b}")
+                fs.delete(p, True)
 
 
 def report(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -6,15 +6,19 @@ record as a frame of its own, so that any record can be read with the head alone
 Payloads that were archived already become revisit records without a payload.
 
 Archives go to a folder that all executors share, through the file system that its
-URI names.  A file is written under a name of its own attempt and then moved to its
-final name, so tasks can be run again.  An archive holds `archive_bytes` at most (or
+URI names: one that Arrow knows (file, hdfs, s3, gs, abfs), s3a, or any that fsspec has a
+driver for.  Names are of a task's attempt, so attempts don't meet; the list that `write`
+returns says which archives count, and a lost attempt's files aren't in it.  An archive holds `archive_bytes` at most (or
 one record), which bounds a task's memory; dictionaries are trained on records spread
 over the archive, `SAMPLE_BYTES` of them.
 
 Defined cases.  Null html: an empty payload.  Null url: no target header.  Null
 page_id: never the response where an equal payload has an id; without any id all
-are responses.  Repeated rows of the response's id are responses too.  Payloads under
-`least_bytes` are never revisits.  Empty table: no archive.  Extra columns are ignored.
+are responses.  Repeated rows of the response's id are responses too, with record ids of
+their own; revisits refer to the first.  Very long payloads: an archive each.  Ties of
+page_id: the row with the least url.  Payloads under
+`least_bytes` are never revisits.  Empty table: no archive.  Extra and clashing columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,51 +33,73 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from ..sources.shared import passing_folder
+from .common import bounded, settle
 
 #: Fixed values of the format: the skippable frame, and the profile of revisits.
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_BYTES = 1 << 15
 SAMPLE_BYTES = 100 * DICTIONARY_BYTES
-#: Digests of repeated payloads that may be broadcast, some 80 bytes each.
-MAX_KEYS = 1_000_000
+#: URI schemes of Hadoop and what Arrow calls them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
+    scheme, colon, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as unknown:
+        try:
+            import fsspec
+
+            return pafs.PyFileSystem(pafs.FSSpecHandler(fsspec.filesystem(scheme))), uri
+        except (ImportError, ValueError):
+            raise ValueError(f"neither Arrow nor fsspec has a file system for {uri}; archives need a shared folder that Python on the executors can open") from unknown
 
 
 def decide(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload (binary), digest, record_type, refers_to."""
+    """page_id, url, payload (binary), digest, record_type, refers_to, head (whether others refer to it)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     repeated = (
         rows.where(F.octet_length("payload") >= least_bytes)
+        .groupBy("digest", "page_id")
+        .agg(F.count(F.lit(1)).alias("c"))
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
+        .agg(F.min("page_id").alias("first"), F.sum("c").alias("c"), F.min_by("c", F.coalesce("page_id", F.lit(2**63 - 1))).alias("n_first"))
         .where("c > 1 and first is not null")
-        .select("digest", "first")
+        .select("digest", "first", "n_first")
     )
-    repeated = settle(repeated)
-    if repeated.count() <= MAX_KEYS:
-        repeated = F.broadcast(repeated)
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(repeated, "digest", "left").select(
+    repeated = bounded(settle(repeated))
+    rows = rows.join(repeated, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    # Of repeated rows of the response's id, others refer to one.
+    twins = F.coalesce((F.col("n_first") > 1) & (F.col("page_id") == F.col("first")), F.lit(False))
+    one = rows.where(twins).withColumn("head", F.row_number().over(Window.partitionBy("digest").orderBy("url")) == 1)
+    rows = rows.where(~twins).withColumn("head", F.col("first").isNotNull() & ~F.col("again")).unionByName(one)
+    return rows.select(
         "page_id", "url", "payload", "digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
+        F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("again"), F.col("first")).alias("refers_to"),
+        "head",
     )
 
 
-def _record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id} {digest}'.encode()).digest()[:16])}>"
+def _record_id(*of) -> str:
+    """Of the response that others refer to, by page and digest; of every other record, by its place as well."""
+    name = " ".join(map(str, of))
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(name.encode()).digest()[:16])}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
-    """A WARC record in full."""
+def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str, place: str | None = None) -> bytes:
+    """A WARC record in full; `place` tells it from others of its page and payload."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": _record_id(page_id, digest),
+        "WARC-Record-ID": _record_id(page_id, digest, *([place] if place else [])),
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~"),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -161,14 +187,15 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, least_by
 
     def put(batches):
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
+        attempt = uuid.uuid4().hex[:12]
         fs.create_dir(base, recursive=True)
         held, size, made = [], 0, 0
 
         def flush():
             nonlocal held, size, made
-            name = f"{base}/part-{task.partitionId():06d}-{made:04d}.warc.zst"
-            own = f"{base}/.{uuid.uuid4().hex}.tmp"
+            name = f"{base}/part-{task.partitionId():06d}-{made:04d}-{attempt}.warc.zst"
+            own = f"{base}/.{attempt}-{made}.tmp"
             out = 0
             with fs.open_output_stream(own, compression=None) as f:
                 for part in archive(held, level):
@@ -181,7 +208,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, least_by
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                r = record(*row, date)
+                r = record(*row[:-1], date, None if row[-1] else f"{attempt} {made} {len(held)}")
                 if held and size + len(r) > archive_bytes:
                     yield flush()
                 held.append(r)
@@ -198,7 +225,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
     def get(batches):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
 
         def number(x):
             return None if x is None else int(x)
@@ -231,6 +258,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def report(pages: DataFrame) -> DataFrame:
     """Archives `pages` in the shared folder, reads them back and gives the contract's columns."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = passing_folder(pages.sparkSession, "warc")
     found = read(write(pages, folder), folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

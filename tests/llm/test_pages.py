@@ -136,6 +136,25 @@ PAGES = [
 ]
 
 
+def test_record_ids_differ(spark, tmp_path):
+    pages = spark.createDataFrame([(*p, 1, "x") for p in PAGES * 2], "page_id bigint, url string, html string, digest int, copy string").repartition(3)
+    archives = warc.write(pages, tmp_path.as_uri(), archive_bytes=2000)
+    heads = []
+    for r in archives.collect():
+        with open(r.path, "rb") as f:
+            heads += [head for head, _ in warc.read_archive(f)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == 2 * len(PAGES)
+    told = {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    assert told and told <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+
+
+def test_file_systems():
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="shared folder"):
+        warc.file_system("nosuch://host/x")
+
+
 def test_archives(spark, tmp_path):
     pages = spark.createDataFrame([(*p, 1, "x") for p in PAGES], "page_id bigint, url string, html string, digest int, payload string").repartition(2)
     folder = tmp_path.as_uri()

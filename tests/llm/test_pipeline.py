@@ -17,6 +17,18 @@ def test_equals_sql(spark, name):
     assert ours == theirs and ours
 
 
+def test_quality_equals_sql_where_cutoffs_reject(spark, tmp_path):
+    """Enough good labels for certified cutoffs, and documents above them."""
+    rows = [(i, " ".join(f"word{i * 31 + k}" for k in range(12)) + (" # $" if i % 500 == 7 else ""), "en") for i in range(1500)]
+    rows += [(i, " ".join(f"w#{i}{k}#" for k in range(12)), "en") for i in range(1500, 1600)]
+    rows += [(i, f"zwei drei {i} vier #", None) for i in range(1600, 1650)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i < 1500), 0) for i in range(1600)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    ours, theirs = compare(spark, QUERIES["op4_quality"], ORACLES["op4_quality"], str(tmp_path))
+    assert ours == theirs and sum("symbols" in map(str, r) for r in ours) == 103
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources"]
 

@@ -41,7 +41,7 @@ def test_byte_pairs(spark, corpus):
     pairs = (line.split() for line in open(t.VOCABULARY, "rb"))
     own = tiktoken.Encoding("own", pat_str=t.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
     small = corpus.where("doc_id is null or doc_id <> 11")
-    found = t.counted(small, {"bpe": t.byte_pairs(spark)})
+    found = t.counted(small, {"bpe": t.byte_pairs(spark, t.VOCABULARY)})
     expected = sorted(len(own.encode_ordinary(r.text or "")) for r in small.collect())
     assert sorted(r.tokens for r in found.collect()) == expected
 
