@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize, tokens
+from ..functions.text import tokens
 from ..sources.segments import bucket_of
 
 
@@ -14,8 +14,11 @@ BUCKET = 1 << 16
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Distinct (term, rterm, doc_id); rterm is the term reversed, for suffix searches."""
-    rows = tokenize(docs).distinct()
+    """Distinct (term, rterm, doc_id) of documents with distinct ids; rterm is the term reversed, for suffix searches.
+
+    A term's repeats in a document go where its text is read, so nothing is shuffled.
+    """
+    rows = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return rows.select("term", F.reverse("term").alias("rterm"), "doc_id")
 
 
