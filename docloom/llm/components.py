@@ -26,14 +26,15 @@ def _stars(pairs: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of `links` (a, b: longs); root is the component's least node.
 
     Rounds grow with the logarithm of the longest chain; each is settled in the
-    shared folder.  No group is collected: a hub meets its links in joins alone.
+    shared folder (by `scratch`, if given).  No group is collected: a hub meets its links
+    in joins alone.
     """
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    scratch = Scratch(links.sparkSession)
+    scratch = scratch or Scratch(links.sparkSession)
     pairs, before = scratch.settle(pairs), None
     while True:
         state = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first()

@@ -438,9 +438,9 @@ def _once(blocks: DataFrame, value: str) -> DataFrame:
     return blocks.join(seen.select("h", F.ceil(F.col("m") / BLOCK_TILE).cast("int").alias("tiles")), "h")
 
 
-def _renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _renamed(rows: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """`rows` with the roots that the links lead to."""
-    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    found = components(links, scratch).select(F.col("node").alias("root"), F.col("root").alias("_new"))
     return rows.join(found, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
@@ -482,20 +482,20 @@ def join_components(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     cell = F.xxhash64("b.h", F.pmod(F.xxhash64("node"), F.col("b.cells")))
     home = scratch.settle(home.select("node", "root", F.col("b.h").alias("home"), F.col("b.cells").alias("cells"), cell.alias("cell")))
     rows = home.select(*(F.col("cell").alias(c) for c in ("t1", "t2", "own")), "root", "node")
-    labels = scratch.settle(_renamed(home.select("node", "root"), scratch.settle(_linked(rows, sets, percent))))
+    labels = scratch.settle(_renamed(home.select("node", "root"), scratch.settle(_linked(rows, sets, percent)), scratch))
     if not home.where("cells > 1").isEmpty():
         # Of homes with several cells, one point for each cluster, the one that names it.
         heads = home.where("cells > 1").select("home", "cells", "node").join(labels, "node").groupBy("home", "root").agg(F.max("cells").alias("cells"))
         own = F.xxhash64("home", F.pmod(F.xxhash64("root"), F.ceil(F.col("cells") / TILE)))
         heads = heads.select(*(own.alias(c) for c in ("t1", "t2", "own")), "root", F.col("root").alias("node"))
-        labels = scratch.settle(_renamed(labels, scratch.settle(_linked(scratch.settle(heads), sets, percent))))
+        labels = scratch.settle(_renamed(labels, scratch.settle(_linked(scratch.settle(heads), sets, percent)), scratch))
 
     # What could still link two clusters.
     several = live.drop("root").join(labels, "node").groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     left = live.drop("root").join(several.where("lo <> hi").select("h"), "h", "left_semi").join(labels, "node")
     left = scratch.settle(_once(left, "node").join(home.select("node", "cell"), "node"))
     rows = scratch.settle(_apart(left, vectors, percent))
-    labels = scratch.settle(_renamed(labels, scratch.settle(_linked(rows, sets, percent))))
+    labels = scratch.settle(_renamed(labels, scratch.settle(_linked(rows, sets, percent)), scratch))
 
     # Clusters of different sets, then the least id of any member.
     tops = named.select("rep", "least").distinct().join(labels.withColumnRenamed("node", "rep"), "rep")

@@ -266,6 +266,16 @@ def test_langid(languages, corpus, empty):
     assert {r.lang_pred for r in langid.report(languages.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, languages):
+    """A language of one row in forty has its part of a small sample."""
+    rare = [(1000 + i, " ".join("мнопрст"[(i + k) % 7] * 3 for k in range(30)), "dd") for i in range(10)]
+    docs = languages.unionByName(spark.createDataFrame(rare, "doc_id bigint, text string, lang string"))
+    model = langid.fit(docs, langid.F.lit(True), train_rows=40, least=10)
+    assert model.langs == ("aa", "bb", "cc", "dd")
+    found = {r.doc_id: r.lang for r in langid.predict(docs, model).select("row.doc_id", "lang").collect()}
+    assert all(found[1000 + i] == "dd" for i in range(10))
+
+
 def test_langid_pieces_add_up():
     import numpy as np
     import pyarrow as pa
