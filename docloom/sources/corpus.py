@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_files(spark: SparkSession, paths: str | list[str], first_id: int = 0) -> DataFrame:
     """(doc_id, text, path): a document per file, numbered from `first_id` in order of path.
 
-    Paths alone are numbered in one place; texts stay where they are read.
+    Paths alone, from a listing that opens no file, are numbered in one place; texts are
+    read once and stay where they are read.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
-    names = files.select("path").distinct()
+    path = F.col("_metadata.file_path").alias("path")
+    files = spark.read.text(paths, wholetext=True).select(F.col("value").alias("text"), path)
+    names = spark.read.format("binaryFile").load(paths).select(path)
     ids = names.withColumn("doc_id", (F.row_number().over(Window.orderBy("path")) - 1 + first_id).cast("long"))
     return files.join(ids, "path").select("doc_id", "text", "path")
 

@@ -29,6 +29,7 @@ def hadoop(spark: SparkSession, path: str):
 def passing_folder(spark: SparkSession, kind: str) -> str:
     """A new folder that goes with the session."""
     path, fs = hadoop(spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    fs.mkdirs(path)  # what isn't there yet can't be marked
     fs.deleteOnExit(path)
     return path.toString()
 
