@@ -220,6 +220,17 @@ def test_lines_of_every_length(spark):
         assert found[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in a | b)
 
 
+def test_lines_at_one_place(spark):
+    """Of repeated and null ids, lines at the same place are as early as each other."""
+    base = " ".join(f"word{k}" for k in range(12))
+    near = [base, base.replace("word3", "other"), base.replace("word7", "else")]
+    rows = [(8, near[0]), (8, near[1]), (9, near[2]), (None, "a " + near[0]), (None, "b " + near[0])]
+    rows += [(None, "\n" + t.replace("word", "name")) for t in near[:2]]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = line_dedup.cleaned(frame).select("row.doc_id", "row.text", "n_near").collect()
+    assert {r.text: r.n_near for r in found} == {t: int(k in (2, 3, 4)) for k, (_, t) in enumerate(rows)}
+
+
 def test_a_template_with_many_fillings(spark):
     base = " ".join(f"word{k}" for k in range(30))
     rows = [(i, f"{base} filling{i} {base}\n{base} {base} common\nfilling{i}") for i in range(300)]
