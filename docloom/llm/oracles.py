@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .common import UPPER
 from .mixture import PRIMES
-from .quality import GRIDS
+from .quality import GRIDS, PATH
 
 LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
@@ -53,8 +53,8 @@ got as (select doc_id, sum((least(c + size, (j + 1) * z) - greatest(c, j * z))
   * (f + case when f < 3 and (({PRIMES[SEED % len(PRIMES)]} % b) * j + {SEED * 7919}) % b < r then 1 else 0 end))::bigint as taken from cut group by 1)
 select doc_id, source, size, source_size, target, coalesce(taken, 0)::bigint as taken from met left join got using (doc_id)"""
 
-_ALPHA, _LEVEL = 0.05 / len(GRIDS), 0.05 / len(GRIDS)
-_GRID = ", ".join(f"({i}, '{k}', {j}, {cut}::double)" for i, (k, g) in enumerate(GRIDS.items()) for j, cut in enumerate(g))
+_ALPHA, _LEVEL = 0.05, 0.05
+_PATH = ", ".join(f"({t}, {list(GRIDS).index(k)}, '{k}', {cut}::double)" for t, (k, cut) in enumerate(PATH))
 _SCORES = {
     "symbols": "n_symbols / nullif(n_words, 0)",
     "repeats": "n_repeat_words / nullif(n_words, 0)",
@@ -73,16 +73,17 @@ m as (select d.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w
   len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
   from d left join rep using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
-grid as (select * from (values {_GRID}) g(i, rule, j, cut)),
+path as (select * from (values {_PATH}) g(t, i, rule, cut)),
 score as ({" union all ".join(f"select doc_id, lang, base_failed, '{k}' as rule, {v} as score from b" for k, v in _SCORES.items())}),
 good as (select doc_id from labels where doc_id is not null group by 1 having max(quality) = 1),
-seen as (select lang, rule, i, j, cut, count(*) as n, count(*) filter (score > cut) as k
-  from score join good using (doc_id) join grid using (rule) where not base_failed group by all),
+over as (select doc_id, lang, rule, i, t from score join path using (rule) where score > cut),
+early as (select b.doc_id, b.lang, min(t) as first from b join good on b.doc_id = good.doc_id left join over on b.doc_id = over.doc_id where not base_failed group by 1, 2),
+seen as (select lang, t, count(*) as n, count(*) filter (first <= t) as k from early cross join path group by 1, 2),
 tail as (select *, case when k >= n * {_ALPHA} then 1.0 else (select sum(exp(lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0) + x * ln({_ALPHA}) + (n - x) * ln(1 - {_ALPHA})))
   from (select unnest(range(0, k + 1)) as x)) end as p from seen),
-ok as (select *, bool_and(p <= {_LEVEL} / (select count(distinct coalesce(lang, '~null')) from seen)) over (partition by lang, rule order by j) as fine from tail),
-cuts as (select lang, rule, min(i) as i, arg_max(cut, j) as cut from ok where fine group by 1, 2),
-gone as (select s.doc_id, string_agg(s.rule, ',' order by c.i) as rules from score s join cuts c on s.rule = c.rule and s.lang is not distinct from c.lang where s.score > c.cut group by 1)
+ok as (select *, bool_and(p <= {_LEVEL} / (select count(distinct coalesce(lang, '~null')) from seen)) over (partition by lang order by t) as fine from tail),
+force as (select lang, count(*) as steps from ok where fine group by 1),
+gone as (select doc_id, string_agg(rule, ',' order by i) as rules from (select distinct o.doc_id, o.rule, o.i from over o join force f on o.lang is not distinct from f.lang where o.t < f.steps) group by 1)
 select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and rules is null as kept, coalesce(rules, '') as rejected_by from b left join gone using (doc_id)"""
 

@@ -1,20 +1,20 @@
 """Quality rules whose cutoffs come with a risk guarantee.
 
-Every rule scores a document, higher being worse, and rejects above a cutoff.  The
-cutoff is the strictest one whose false rejections are certified: on the labelled
-good documents of a stratum, an exact binomial test must rule out that the rule
-rejects more than its share of `alpha`.  Cutoffs of a fixed grid are tested from
-lenient to strict and testing stops at the first that fails (fixed sequence, so the
-grid needs no correction); the level is divided by rules times strata (Bonferroni).
-With probability `confidence` the rules together falsely reject at most `alpha` of
-the good documents of every stratum.  A rule without a certified cutoff is silent.
+Every rule scores a document, higher being worse, and rejects above a cutoff.  Cutoffs
+come into force along one path that is fixed beforehand, the lenient ones of all rules
+first, one cutoff of one rule a step.  At each step an exact binomial test on the
+labelled good documents of a stratum must rule out that the rules in force together
+reject more than `alpha` of them.  Testing stops at the first step that fails (a fixed
+sequence, so neither steps nor rules need a correction); the level is divided by strata
+(Bonferroni).  With probability `confidence` the rules together falsely reject at most
+`alpha` of the good documents of every stratum.  Before the first step all rules are silent.
 
 Defined cases.  Null, empty or word-less text: no words, base_failed.  Null stratum:
 one of its own.  A null label is no label; of repeated labels the best one counts.
 Repeated rows are documents of their own.  Very long text: its windows are counted in
 its row.  Ties: a score equal to a cutoff isn't rejected.  Empty tables: no rows, or no
 cutoffs.  Extra and clashing columns are ignored.  A stratum with few good labels (under
-597 with these grids and four strata) has no certified cutoff at all.
+86 with four strata: 0.95^n <= 0.05 / 4) has no certified cutoff at all.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import settle, space_words
 
 SYMBOLS = "#*$%&|<>"
 SPACE_CHARS = " \t\n\x0b\f\r"
-#: Cutoffs to be tested, lenient first; fixed before any label is seen.
+#: Cutoffs of the rules, lenient first; fixed before any label is seen.
 GRIDS = {
     "symbols": (4.0, 2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02),
     "repeats": (0.19, 0.16, 0.13, 0.1, 0.07, 0.04, 0.02),
@@ -36,7 +36,9 @@ GRIDS = {
     "long_words": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
     "short_words": (-2.0, -2.5, -3.0, -3.5, -4.0),
 }
-#: Strata that may be broadcast, a row of cutoffs each.
+#: The cutoffs in the order in which they come into force.
+PATH = [(rule, grid[j]) for j in range(max(map(len, GRIDS.values()))) for rule, grid in GRIDS.items() if j < len(grid)]
+#: Strata that may be broadcast, a row each.
 MAX_STRATA = 10_000
 
 
@@ -116,36 +118,25 @@ def log_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * p, F.aggregate(steps, start, step, lambda a: a["m"] + F.ln(a["s"]))).otherwise(F.lit(0.0))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, confidence: float = 0.95) -> DataFrame:
-    """stratum, n_good, cuts: the certified cutoff of each rule of GRIDS, null where none is."""
+def first_step(rules: set[str] | None = None) -> Column:
+    """The step of PATH from which on a row is rejected (by one of `rules`), null if none rejects it."""
+    score = scores()
+    return F.coalesce(*(F.when(score[k] > cut, F.lit(t)) for t, (k, cut) in enumerate(PATH) if rules is None or k in rules))
+
+
+def certified_steps(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, confidence: float = 0.95) -> DataFrame:
+    """stratum, n_good, steps: how many steps of PATH are certified."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1")
     rows = measured.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id")
-    rows = rows.select("stratum", *(c.alias(k) for k, c in scores().items()))
     # A row for each stratum, however many labels there are.
-    seen = rows.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n_good"),
-        *(
-            F.array(*(F.struct(F.lit(c).alias("cut"), F.count_if(F.col(k) > c).alias("k")) for c in grid)).alias(k)
-            for k, grid in GRIDS.items()
-        ),
+    seen = rows.select("stratum", first_step().alias("first")).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n_good"), F.array(*(F.count_if(F.col("first") <= t) for t in range(len(PATH)))).alias("ks")
     )
-    seen = seen.withColumn("_strata", F.count(F.lit(1)).over(Window.partitionBy()))
-    level = F.ln(F.lit(1 - confidence) / (len(GRIDS) * F.col("_strata")))
-    share = alpha / len(GRIDS)
-
-    def certified(grid: str) -> Column:
-        tried = F.transform(grid, lambda x: F.struct(x["cut"].alias("cut"), (log_tail(F.col("n_good"), x["k"], share) <= level).alias("ok")))
-        none = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(True).alias("on"))
-        return F.aggregate(
-            tried,
-            none,
-            lambda a, x: F.struct(
-                F.when(a["on"] & x["ok"], x["cut"]).otherwise(a["cut"]).alias("cut"), (a["on"] & x["ok"]).alias("on")
-            ),
-            lambda a: a["cut"],
-        )
-
-    return seen.select("stratum", "n_good", F.array(*(certified(k) for k in GRIDS)).alias("cuts"))
+    level = F.ln(F.lit(1 - confidence) / F.count(F.lit(1)).over(Window.partitionBy()))
+    seen = seen.withColumn("_level", level)
+    fine = F.transform("ks", lambda k: log_tail(F.col("n_good"), k, alpha) <= F.col("_level"))
+    failed = F.array_position(fine, False)
+    return seen.select("stratum", "n_good", F.when(failed > 0, failed - 1).otherwise(len(PATH)).cast("int").alias("steps"))
 
 
 def judge(
@@ -153,14 +144,14 @@ def judge(
 ) -> DataFrame:
     """Per row of `docs`: doc_id, stratum, base counts, base_failed, rejected_by, kept."""
     measured = settle(measure(docs, stratum))
-    cuts = settle(cutoffs(measured, labels, alpha, confidence))
-    if cuts.count() <= MAX_STRATA:
-        cuts = F.broadcast(cuts)
-    d = measured.alias("m").join(cuts.alias("c"), F.col("m.stratum").eqNullSafe(F.col("c.stratum")), "left")
-    d = d.select("m.*", "c.cuts")
-    over = [F.when(c > F.get(F.col("cuts"), F.lit(i)), F.lit(k)) for i, (k, c) in enumerate(scores().items())]
+    found = settle(certified_steps(measured, labels, alpha, confidence))
+    if found.count() <= MAX_STRATA:
+        found = F.broadcast(found)
+    d = measured.alias("m").join(found.alias("c"), F.col("m.stratum").eqNullSafe(F.col("c.stratum")), "left")
+    d = d.select("m.*", "c.steps")
+    over = [F.when(first_step({k}) < F.col("steps"), F.lit(k)) for k in GRIDS]
     d = d.withColumn("rejected_by", F.array_compact(F.array(*over)))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cuts")
+    return d.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("steps")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

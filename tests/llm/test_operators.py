@@ -133,8 +133,45 @@ def test_certified_cutoffs(spark):
     found = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert all(found[i].kept for i in range(1500))
     assert all(found[i].rejected_by == ["symbols"] for i in range(1500, 1600))
-    few = quality.judge(docs, labels.where("doc_id < 100 or doc_id >= 1500")).collect()
-    assert all(r.kept for r in few)
+    # One stratum: 59 labels are enough, 58 aren't.
+    for n in (58, 59):
+        few = quality.judge(docs, labels.where(f"doc_id % 25 = 0 and doc_id < 25 * {n} or doc_id >= 1500")).collect()
+        assert all(r.kept == (n < 59 or r.doc_id < 1500) for r in few)
+
+
+def test_certified_steps(spark):
+    """Steps in force by stratum against exact fractions; a failed step ends the path."""
+    import random
+    from fractions import Fraction
+    from math import comb
+
+    r = random.Random(3)
+    path, rows, labels = quality.PATH, [], []
+    for lang, n in (("en", 700), ("fr", 130), ("de", 85), (None, 300)):
+        for _ in range(n):
+            w = [r.choice(("a", "be", "sea", "word", "#", "longer")) if r.random() < 0.03 else "x" * r.randrange(3, 8) + str(r.random())[2:4] for _ in range(40)]
+            rows.append((len(rows), "\n".join([" ".join(w)] * (1 + (r.random() < 0.02))), lang))
+            labels.append((rows[-1][0], int(r.random() < 0.9), 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    measured = quality.measure(docs).cache()
+    good = {i for i, q, _ in labels if q}
+    first = {}
+    for x in measured.select("*", *(c.alias(f"s_{k}") for k, c in quality.scores().items())).collect():
+        if x.doc_id in good and not x.base_failed:
+            steps = [t for t, (k, cut) in enumerate(path) if x[f"s_{k}"] is not None and x[f"s_{k}"] > cut]
+            first.setdefault(x.stratum, []).append(min(steps, default=len(path)))
+    expected, share = {}, Fraction(1, 20)
+    for lang, of in first.items():
+        n, steps = len(of), 0
+        while steps < len(path):
+            k = sum(f <= steps for f in of)
+            if sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) > Fraction(1, 20) / len(first):
+                break
+            steps += 1
+        expected[lang] = (n, steps)
+    found = {x.stratum: (x.n_good, x.steps) for x in quality.certified_steps(measured, frame).collect()}
+    assert found == expected and expected["de"][1] == 0 < expected["en"][1] < len(path)
 
 
 def test_ngram_join(corpus, empty):
