@@ -3,8 +3,8 @@
 Lines are compared by their words.  Of equal lines the earliest stays (least doc_id,
 then least line number).  A line also goes if an earlier one is within the edit bound,
 one element replaced, put in or left out.  Elements are words where both lines have
-WORDS of them or more, else characters, for lines of CHARS of them (so that an edit is
-a fifth of a line's words at most, and a twentieth of a short line's characters).
+WORDS of them or more, else characters, for lines of CHARS of them or more (so that an
+edit is a fifth of a line's words at most, and a twentieth of its characters).
 
 Near lines are found by their deletion neighbourhood: every variant of a line with one
 element left out is emitted as a hashed key, and equal variants are joined.  Lines that
@@ -17,11 +17,13 @@ Only lines with a possible partner emit variants.  One edit leaves the first or
 half of the shorter line intact, so keys of the halves (for a partner as long or longer,
 and for one shorter) are counted first.  A line that shares one with another line emits
 the variants with an element of the rest left out; the others, nearly all, emit none.
+Of lines of more than BLOCK characters only blocks emit variants whose surroundings
+another line shares (see `_long_marks`), so a line of any length is compared.
 
 Defined cases.  Null text stays null.  Lines without words are kept and compared with
-nothing.  Short lines of under 20 or over 1000 characters are compared exactly.  Very
+nothing.  Lines compared by characters that have under 20 are compared exactly.  Very
 long texts: work grows with the text, and with the square of a line's length for a line
-that shares a half.  Ties: only lines of repeated ids.
+of many words that shares a half.  Ties: only lines of repeated ids.
 Null doc_ids come last.  Rows with the same doc_id are one document: lines at the same
 place in both are as early as each other, and neither goes for the other.  Repeated rows get the same result.  Empty table:
 no rows.  Extra and clashing columns are kept by `keep_lines`, ignored otherwise.
@@ -29,15 +31,19 @@ no rows.  Extra and clashing columns are kept by `keep_lines`, ignored otherwise
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, flagged, flags, packed, text_key, unpacked
 
 KEY = ["doc_id", "_k1", "_k2"]
 ID = ["h1", "h2"]
-#: Words from which lines are compared by words, and characters of shorter lines that are compared at all.
-WORDS, CHARS = 5, (20, 1000)
+#: Words from which lines are compared by words, and characters from which shorter lines are compared at all.
+WORDS, CHARS = 5, 20
+#: Characters of a block; lines of more are hashed by blocks.
+BLOCK = 1000
 
 
 def _spaced(text: Column) -> Column:
@@ -83,7 +89,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = rows.select(*KEY, "line_no", _single(F.col("line")).alias("t")).where("t <> ''").withColumn("n", _n_words(F.col("t")))
     t, n, c = F.col("t"), F.col("n"), F.char_length("t")
     by_words, by_chars = _halves(t, n, False), _halves(t, c, True)
-    short = (n <= WORDS) & c.between(*CHARS)
+    short = (n <= WORDS) & (c >= CHARS)
     keys = F.when(n > WORDS, by_words).when(short & (n == WORDS), F.concat(by_words, by_chars)).when(short, by_chars).when(n == WORDS, by_words)
     # Of a line of WORDS words the characters count only against a shorter one.
     return rows.select(*KEY, "line_no", F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), (n < WORDS).alias("short"), keys.alias("keys"))
@@ -116,6 +122,8 @@ def _marks(found: DataFrame, chars: bool) -> DataFrame:
     t, shift = F.col("t"), 4 * chars
     n = F.char_length(t) if chars else _n_words(t)
     own = found.withColumn("mask", F.shiftright("mask", shift).bitwiseAND(15)).where("mask > 0").withColumn("n", n.cast("int"))
+    if chars:
+        own = own.where(F.col("n") <= BLOCK)
 
     def has(*bits: int) -> Column:
         return F.col("mask").bitwiseAND(sum(1 << b for b in bits)) > 0
@@ -132,9 +140,48 @@ def _marks(found: DataFrame, chars: bool) -> DataFrame:
     return cut.unionByName(whole)
 
 
+def _long_marks(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """`_marks` by characters of the lines (o, n, t) of more than BLOCK; those of BLOCK only tell what they share.
+
+    A text's hash is the xor of its blocks' hashes, each with the block's number; with one
+    block that is the hash of `_marks`.  Where a character of a block is left out, later
+    blocks begin one further on.  So a block's surroundings are known without its variants,
+    and only blocks whose surroundings another line shares emit them.
+    """
+    j, b, m = F.col("j"), F.col("b"), F.col("n") - 1
+
+    def hashed(part: Column) -> Column:
+        return F.when(part == "", F.lit(0)).otherwise(F.xxhash64(j + 1, part))
+
+    # The empty block at the end stands for one that only a longer partner has.
+    cuts = (F.regexp_extract_all("t", F.lit(f"(?s)(.{{0,{BLOCK}}})(?=(.?))"), F.lit(k)) for k in (1, 2))
+    blocks = found.select("o", "n", F.posexplode(F.arrays_zip(*cuts))).select("o", "n", "pos", "col.*").toDF("o", "n", "j", "b", "next")
+    blocks = blocks.withColumn("f", hashed(b)).withColumn("g", hashed(F.concat(F.substr(b, F.lit(2)), "next")))
+    line = Window.partitionBy("o")
+    before = F.bit_xor(F.col("f").bitwiseXOR(F.col("g"))).over(line.orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("whole", F.bit_xor("f").over(line)).withColumn("rest", F.bit_xor("g").over(line).bitwiseXOR(F.coalesce(before, F.lit(0))))
+    rest, others = F.col("rest").bitwiseXOR(F.col("g")), F.col("whole").bitwiseXOR(F.col("f"))
+    blocks = scratch.settle(blocks.select("o", "n", "j", "b", "next", "whole", rest.alias("rest"), others.alias("others")))
+    long = blocks.where((F.col("n") > BLOCK) & (b != "")).withColumn("m", m)
+    keys = long.select("m", "j", "rest", F.lit(1).alias("c")).unionByName(blocks.select(F.col("n").alias("m"), "j", F.col("others").alias("rest"), F.lit(0).alias("c")))
+    shared = keys.groupBy("m", "j", "rest").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("lines")).where("c > 0 and lines > 1")
+    shared = scratch.settle(shared.select("m", "j", "rest"))
+    cut = long.join(bounded(shared), ["m", "j", "rest"]).select("o", "m", "j", "b", "next", "rest", F.explode(F.sequence(F.lit(1), F.char_length("b"))).alias("i"))
+    left = F.concat(F.substr(b, F.lit(1), F.col("i") - 1), F.substr(b, F.col("i") + 1), "next")
+    cut = cut.select("o", "m", (j * BLOCK + F.col("i")).alias("at"), F.col("rest").bitwiseXOR(hashed(left)).alias("v"))
+    whole = blocks.where((F.col("n") > BLOCK) & (j == 0)).select("o", F.col("n").alias("m"), F.lit(0).alias("at"), F.col("whole").alias("v"))
+    marks = scratch.settle(cut.unionByName(whole))
+    scratch.drop(blocks, shared)
+    return marks
+
+
 def _near(found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
     """ID of the lines (o, doc_id, line_no, ID, mask, t) that have one at an earlier place within one edit."""
-    marks = scratch.settle(_marks(found, chars))
+    tables = [scratch.settle(_marks(found, chars))]
+    long = found.where("mask >= 16").select("o", F.char_length("t").alias("n"), "t").where(F.col("n") >= BLOCK)
+    if chars and long.count():
+        tables.append(_long_marks(long, scratch))
+    marks = reduce(DataFrame.unionByName, tables)
     # The same element missing at the same place: one replaced.
     swapped = marks.where("at > 0").groupBy("v", "m", "at").agg(F.min("o").alias("by"), F.count(F.lit(1)).alias("c"))
     swapped = scratch.settle(swapped.where("c > 1").select("v", "m", "at", "by"))
@@ -147,13 +194,15 @@ def _near(found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
     links = a.select("o", "by").unionByName(b.select("o", "by")).where("by < o").groupBy("o").agg(F.min("by").alias("by"))
     x = links.join(found.select("o", "doc_id", "line_no", *ID, "t"), "o")
     y = found.select(F.col("o").alias("by"), F.col("t").alias("other"), F.col("doc_id").alias("at_id"), F.col("line_no").alias("at_no"))
-    same = F.call_function("levenshtein", "t", "other", F.lit(1)) >= 0 if chars else within_one_edit(F.split("t", " "), F.split("other", " "))
-    if chars:  # a pair that both have WORDS words is compared by those
+    same = within_one_edit(*(F.split(c, "" if chars else " ") for c in ("t", "other")))
+    if chars:  # levenshtein is fast on short lines and takes the square of a length
+        same = F.when(F.char_length("t") <= BLOCK, F.call_function("levenshtein", "t", "other", F.lit(1)) >= 0).otherwise(same)
+        # A pair that both have WORDS words is compared by those.
         same = same & (F.least(_n_words(F.col("t")), _n_words(F.col("other"))) < WORDS)
     # Where ids repeat, lines may be at the same place: neither is earlier.
     earlier = ~(F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("line_no") == F.col("at_no")))
     near = scratch.settle(x.join(y, "by").where(earlier & same).select(*ID))
-    scratch.drop(marks, swapped, grown)
+    scratch.drop(*tables, swapped, grown)
     return near
 
 

@@ -257,6 +257,43 @@ def test_lines_of_every_length(spark):
         assert found[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in a | b)
 
 
+def nears(spark, lines):
+    """Found near lines of a document of `lines`, and those that all pairs by characters say."""
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string").repartition(3)
+    found = {x.doc_id for x in line_dedup.cleaned(frame).select("row.doc_id", "n_near").collect() if x.n_near}
+    return found, {k for k, a in enumerate(lines) if any(a != b and brute.one_edit(a, b) for b in lines[:k])}
+
+
+def test_lines_of_many_characters(spark):
+    """One edit at the ends and around the edges of blocks of lines without spaces."""
+    import random
+
+    r = random.Random(6)
+    lines = []
+    for n, places in ((1000, (0, 999)), (1001, (0, 500, 1000)), (2000, (0, 1, 999, 1000, 1999)), (2001, (999, 1001, 2000)), (3500, (1234, 3499))):
+        for p in places:
+            base = "".join(r.choices("abé語😀", k=n))
+            near = [base[:p] + base[p + 1 :], base[:p] + "x" + base[p + 1 :], base[:p] + "y" + base[p:], base + "z"]
+            lines += [base, r.choice(near)] if p % 2 else [r.choice(near), base]
+            lines += [base[:5] + "xx" + base[7:-2], base[:700] + "w" + base[701:-3] + "www"]
+    lines += ["q" * n for n in (1001, 1003, 1002, 2500, 2502, 2501)] + ["a b " + "x" * 1500 + c for c in (" c", " d", " dd")]
+    found, expected = nears(spark, lines)
+    assert found == expected and len(found) > 18
+
+
+def test_lines_of_many_small_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    r = random.Random(7)
+    bases = ["".join(r.choices("ab", k=n)) for n in range(20, 40) for _ in range(2)]
+    lines = list(dict.fromkeys(x for t in bases for p in (r.randrange(len(t)), r.randrange(len(t))) for x in (t, t[:p] + r.choice(("", "c", "cd", "c" + t[p])) + t[p + 1 :])))
+    lines = [x for x in lines if len(x) >= 20]
+    r.shuffle(lines)
+    found, expected = nears(spark, lines)
+    assert found == expected and len(found) > 30
+
+
 def test_lines_at_one_place(spark):
     """Of repeated and null ids, lines at the same place are as early as each other."""
     base = " ".join(f"word{k}" for k in range(12))
