@@ -33,6 +33,15 @@ def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources"]
 
 
+def test_line_stage_compares_lines_of_any_length(spark):
+    """The stage drops near copies of a long line without spaces, and the document that has no other."""
+    base = "".join(chr(0x4E00 + k * k % 997) for k in range(2500))
+    texts = [base, base[:1700] + "x" + base[1701:] + "\nother", base[1:], base[:900] + "xx" + base[902:]]
+    frame = spark.createDataFrame([(i, t, "zh", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    left = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.deduplicate_lines(spark, frame, "").collect()}
+    assert left == {0: (base, 2500), 1: ("other", 5), 3: (texts[3], 2500)}
+
+
 def test_pipeline(spark, tmp_path):
     import random
 
