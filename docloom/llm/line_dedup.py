@@ -11,7 +11,9 @@ element left out is emitted as a hashed key, and equal variants are joined.  Lin
 share a variant with the element missing at the same place are all within the bound of
 each other, and so is a line that equals another's variant; so each key needs the
 earliest line that bears it, not pairs, and a template with a million fillings costs a
-million rows.  The link to the earliest is verified on the lines themselves.
+million rows.  The link to the earliest is verified on the lines themselves; should a line
+be unlike the earliest, which its hash alone brought, all that bear a hash of its meet
+again by SHA-256 of the variants, so no other partner is lost with that one.
 
 Only lines with a possible partner emit variants.  One edit leaves the first or the last
 half of the shorter line intact, so keys of the halves (for a partner as long or longer,
@@ -70,6 +72,12 @@ def _last(t: Column, k: Column, chars: bool) -> Column:
     return F.right(t, k) if chars else F.call_function("substring_index", t, F.lit(" "), -k)
 
 
+def _without(t: Column, at: Column, n: Column, chars: bool) -> Column:
+    """t without element `at` of its n."""
+    before, after = _first(t, at - 1, chars), _last(t, n - at, chars)
+    return F.concat(before, after) if chars else F.btrim(F.concat(before, F.lit(" "), after), F.lit(" "))
+
+
 def _half(m: Column) -> Column:
     return F.floor(m / 2).cast("int")
 
@@ -133,8 +141,7 @@ def _marks(found: DataFrame, chars: bool) -> DataFrame:
     lo = F.when(has(1, 3), 1).when(has(2), _half(n - 1) + 1).otherwise(_half(n) + 1)
     hi = F.when(has(0, 2), n).when(has(3), n - _half(n - 1)).otherwise(n - _half(n))
     cut = own.select("o", "n", "t", F.explode(F.sequence(lo, hi)).alias("at"))
-    before, after = _first(t, F.col("at") - 1, chars), _last(t, n - F.col("at"), chars)
-    rest = F.concat(before, after) if chars else F.btrim(F.concat(before, F.lit(" "), after), F.lit(" "))
+    rest = _without(t, F.col("at"), n, chars)
     cut = cut.select("o", (n - 1).alias("m"), "at", F.xxhash64(F.lit(int(chars)), rest).alias("v"))
     whole = own.select("o", n.alias("m"), F.lit(0).alias("at"), F.xxhash64(F.lit(int(chars)), t).alias("v"))
     return cut.unionByName(whole)
@@ -175,13 +182,8 @@ def _long_marks(found: DataFrame, scratch: Scratch) -> DataFrame:
     return marks
 
 
-def _near(found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
-    """ID of the lines (o, doc_id, line_no, ID, mask, t) that have one at an earlier place within one edit."""
-    tables = [scratch.settle(_marks(found, chars))]
-    long = found.where("mask >= 16").select("o", F.char_length("t").alias("n"), "t").where(F.col("n") >= BLOCK)
-    if chars and long.count():
-        tables.append(_long_marks(long, scratch))
-    marks = reduce(DataFrame.unionByName, tables)
+def _met(marks: DataFrame, found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
+    """o, ID, alike, near: lines that bear a key (v, m) of an earlier one; whether the earliest is within one edit, and they go."""
     # The same element missing at the same place: one replaced.
     swapped = marks.where("at > 0").groupBy("v", "m", "at").agg(F.min("o").alias("by"), F.count(F.lit(1)).alias("c"))
     swapped = scratch.settle(swapped.where("c > 1").select("v", "m", "at", "by"))
@@ -194,16 +196,44 @@ def _near(found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
     links = a.select("o", "by").unionByName(b.select("o", "by")).where("by < o").groupBy("o").agg(F.min("by").alias("by"))
     x = links.join(found.select("o", "doc_id", "line_no", *ID, "t"), "o")
     y = found.select(F.col("o").alias("by"), F.col("t").alias("other"), F.col("doc_id").alias("at_id"), F.col("line_no").alias("at_no"))
-    same = within_one_edit(*(F.split(c, "" if chars else " ") for c in ("t", "other")))
+    alike = within_one_edit(*(F.split(c, "" if chars else " ") for c in ("t", "other")))
+    near = F.lit(True)
     if chars:  # levenshtein is fast on short lines and takes the square of a length
-        same = F.when(F.char_length("t") <= BLOCK, F.call_function("levenshtein", "t", "other", F.lit(1)) >= 0).otherwise(same)
-        # A pair that both have WORDS words is compared by those.
-        same = same & (F.least(_n_words(F.col("t")), _n_words(F.col("other"))) < WORDS)
-    # Where ids repeat, lines may be at the same place: neither is earlier.
+        alike = F.when(F.char_length("t") <= BLOCK, F.call_function("levenshtein", "t", "other", F.lit(1)) >= 0).otherwise(alike)
+        # A pair that both have WORDS words is compared by those; then one word differs, so it is found there.
+        near = F.least(_n_words(F.col("t")), _n_words(F.col("other"))) < WORDS
+    # Where ids repeat, lines may be at the same place: neither is earlier, nor is one between them.
     earlier = ~(F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("line_no") == F.col("at_no")))
-    near = scratch.settle(x.join(y, "by").where(earlier & same).select(*ID))
-    scratch.drop(*tables, swapped, grown)
-    return near
+    met = x.join(y, "by").where(earlier).select("o", *ID, alike.alias("alike"), near.alias("near"))
+    met = scratch.settle(met.withColumn("near", F.col("alike") & F.col("near")))
+    scratch.drop(swapped, grown)
+    return met
+
+
+def _spelled(marks: DataFrame, astray: DataFrame, found: DataFrame, chars: bool) -> DataFrame:
+    """The marks with a hash that one of lines `astray` (o) bears, with SHA-256 of the variants instead."""
+    hashes = marks.join(astray, "o").select("v", "m").distinct()
+    own = marks.join(hashes, ["v", "m"]).select("o", "m", "at").join(found.select("o", "t"), "o")
+    t, at = F.col("t"), F.col("at")
+    variant = F.when(at == 0, t).otherwise(_without(t, at, F.col("m") + 1, chars))
+    return own.select("o", "m", "at", F.unhex(F.sha2(variant, 256)).alias("v"))
+
+
+def _near(found: DataFrame, chars: bool, scratch: Scratch) -> DataFrame:
+    """ID of the lines (o, doc_id, line_no, ID, mask, t) that have one at an earlier place within one edit."""
+    tables = [scratch.settle(_marks(found, chars))]
+    long = found.where("mask >= 16").select("o", F.char_length("t").alias("n"), "t").where(F.col("n") >= BLOCK)
+    if chars and long.count():
+        tables.append(_long_marks(long, scratch))
+    marks = reduce(DataFrame.unionByName, tables)
+    met = _met(marks, found, chars, scratch)
+    # Lines that hashes alone brought together may hide later partners.
+    astray = met.where("not alike").select("o")
+    if astray.count():
+        tables.append(scratch.settle(_spelled(marks, astray, found, chars)))
+        met = met.unionByName(_met(tables[-1], found, chars, scratch))
+    scratch.drop(*tables)
+    return met.where("near").select(*ID)
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -223,8 +253,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     lines = scratch.settle(_lines(docs))
     # Lines that share a half with another line; counted before any shuffle, however common the line.
-    halves = lines.select("h1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    shared = scratch.settle(halves.where("lo <> hi").select("key"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ID for f in (F.min, F.max)]
+    halves = lines.select(*ID, F.explode("keys").alias("key")).groupBy("key").agg(*ends)
+    shared = scratch.settle(halves.where("min_h1 <> max_h1 or min_h2 <> max_h2").select("key"))
     wanted = lines.select(*ID, F.explode(_kinds()).alias("k")).select(*ID, "k.kind", "k.key").join(bounded(shared), "key")
     wanted = wanted.groupBy(*ID).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("kind"))).alias("mask"))
     repeated = lines.groupBy(*ID).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*ID, F.lit(0).alias("mask"))

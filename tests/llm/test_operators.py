@@ -294,6 +294,56 @@ def test_lines_of_many_small_blocks(spark, monkeypatch):
     assert found == expected and len(found) > 30
 
 
+def colliding(first, before):
+    """Two strings of 64 characters after which Spark's xxhash64 of `before` (32 k bytes of ASCII) goes on alike, whatever follows.
+
+    The hash is of the text after the columns `first` (None: of the text alone).
+    """
+    import random
+
+    p1, p2, p3, p5, word = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, k: (x << k | x >> 64 - k) & word
+    seed = 42
+    if first is not None:  # the hash of an int
+        h = turn(seed + p5 + 4 & word ^ first * p1 & word, 23) * p2 + p3 & word
+        h = (h ^ h >> 33) * p2 & word
+        h = (h ^ h >> 29) * p3 & word
+        seed = h ^ h >> 32
+    lane = lambda acc, x: turn(acc + int.from_bytes(x, "little") * p2 & word, 31) * p1 & word
+    acc, r = seed + p1 + p2 & word, random.Random(9)
+    for k in range(0, len(before), 32):
+        acc = lane(acc, before[k : k + 8].encode())
+    while True:
+        x, y, z = ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)).encode() for _ in range(3))
+        w = (int.from_bytes(z, "little") + (lane(acc, x) - lane(acc, y)) * pow(p2, -1, 1 << 64) & word).to_bytes(8, "little")
+        if all(33 <= c <= 126 for c in w):
+            return tuple((p + b"-" * 24 + q + b"-" * 24).decode() for p, q in ((x, z), (y, w)))
+
+
+@pytest.mark.parametrize("kind, before", [(0, "one two three " + "f" * 50), (1, "f" * 96), (1, "f" * 896)])
+def test_lines_that_only_share_a_hash(spark, kind, before):
+    """The first line meets the others by a hash alone, and mustn't hide that those are near; by words, characters and blocks."""
+    a, b = colliding(kind, before)
+    same = spark.range(1).select(*(line_dedup.F.xxhash64(line_dedup.F.lit(kind), line_dedup.F.lit(before + x + "end")) for x in (a, b))).first()
+    assert same[0] == same[1] and a != b
+    tail = "z" * 700 if len(before) > 800 else "" if kind else " five six "
+    lines = [before + a + tail + "x", before + b + tail + "y", before + b + tail + "z", before + b + tail + "zz"]
+    found = line_dedup.cleaned(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string"))
+    expected = brute.lines_gone(list(enumerate(lines))) if len(before) < 800 else {2: ((), (0,)), 3: ((), (0,))}
+    assert {x.doc_id for x in found.select("row.doc_id", "n_near").collect() if x.n_near} == {i for i, (_, near) in expected.items() if near} >= {2}
+
+
+def test_near_lines_of_one_hash(spark):
+    """Near lines that no half but their own shares, with the same first 64 bits."""
+    before = "one two three " + "f" * 50
+    lines = [before + x + " five six" for x in colliding(None, before)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id bigint, text string")
+    assert docs.select(line_dedup.F.xxhash64("text")).distinct().count() == 1
+    found = line_dedup.cleaned(docs).select("row.doc_id", "n_exact", "n_near").collect()
+    assert sorted(map(tuple, found)) == [(0, 0, 0), (1, 0, 1)]
+    assert [x.doc_id for x in line_dedup.keep_lines(docs).collect()] == [0]
+
+
 def test_lines_at_one_place(spark):
     """Of repeated and null ids, lines at the same place are as early as each other."""
     base = " ".join(f"word{k}" for k in range(12))
