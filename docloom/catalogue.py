@@ -279,7 +279,7 @@ def runs_expanded(spark, sf_dir):
     "case when n <= 4096 then case when n_runs < (n + 1) // 2 then 'run' else 'array' end when n_runs < 2047 then 'run' else 'bitmap' end as kind from c"
 )
 def container_kind(spark, sf_dir):
-    return ops.containers(_pairs(spark, sf_dir))
+    return ops.document_containers(_docs(spark, sf_dir))
 
 
 def _bucketed(ids: str) -> str:

@@ -34,6 +34,23 @@ def passing_folder(spark: SparkSession, kind: str) -> str:
     return path.toString()
 
 
+#: Bytes of stored input for a partition of a shuffle.
+PART_BYTES = 32 << 20
+
+
+def parts(rows: DataFrame) -> int | None:
+    """Partitions to deal rows to, so that a task's share doesn't grow with the input; None if Spark's setting will do.
+
+    What the plan reads is counted as stored, from its statistics; no job runs.
+    """
+    leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        size += int(leaves.apply(i).stats().sizeInBytes())
+    found = -(-size // PART_BYTES)
+    # A source of unknown size says 2^63 - 1.
+    return found if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) < found and size < 1 << 60 else None
+
+
 def publish(spark: SparkSession, rows: DataFrame, target: str, work: str, writer=lambda w: w, note: tuple[str, str] | None = None) -> bool:
     """Write rows to a folder of their own below `work` and rename it to `target`; False if that is taken.
 
