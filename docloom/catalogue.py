@@ -266,7 +266,7 @@ RUNS = "runs as (select term, min(doc_id) as start, count(*) as length from isla
 
 @query(f"with {T}, {ISLANDS}, {RUNS} select term, start, length from runs")
 def runs(spark, sf_dir):
-    return ops.runs(_pairs(spark, sf_dir))
+    return ops.document_runs(_docs(spark, sf_dir))
 
 
 @query(f"with {T} select term, doc_id from post")

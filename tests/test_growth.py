@@ -44,6 +44,15 @@ def islands(s):
     return sorted((i, next(k for k in range(1, len(s) + 1) if i + k not in s)) for i in s if i - 1 not in s)
 
 
+def test_runs_of_documents(spark):
+    docs, sets = docs_at_edges(spark)
+    found = {}
+    for x in ops.document_runs(docs).collect():
+        found.setdefault(x.term, []).append((x.start, x.length))
+    assert {t: sorted(x) for t, x in found.items()} == {t: islands(s) for t, s in sets.items()}
+    assert sorted(ops.document_runs(docs).collect()) == sorted(ops.runs(ops.postings(docs)).collect())
+
+
 def test_containers_of_documents(spark):
     docs, sets = docs_at_edges(spark)
     found = {x.term: (x.n, x.n_runs) for x in ops.document_containers(docs).collect()}
@@ -51,7 +60,7 @@ def test_containers_of_documents(spark):
     assert sorted(ops.document_containers(docs).collect()) == sorted(ops.containers(ops.postings(docs)).collect())
 
 
-@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0)])
+@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0), ("runs", 0.5)])
 def test_postings_do_not_travel(spark, name, share):
     folder = data_dir("sf0.001")
     pairs = QUERIES["postings"](spark, folder).count()
