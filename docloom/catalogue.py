@@ -271,7 +271,7 @@ def runs(spark, sf_dir):
 
 @query(f"with {T} select term, doc_id from post")
 def runs_expanded(spark, sf_dir):
-    return ops.expand_runs(ops.runs(_pairs(spark, sf_dir)))
+    return ops.expand_runs(ops.document_runs(_docs(spark, sf_dir)))
 
 
 @query(

@@ -60,7 +60,7 @@ def test_containers_of_documents(spark):
     assert sorted(ops.document_containers(docs).collect()) == sorted(ops.containers(ops.postings(docs)).collect())
 
 
-@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0), ("runs", 0.5)])
+@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0), ("runs", 0.5), ("runs_expanded", 0.5)])
 def test_postings_do_not_travel(spark, name, share):
     folder = data_dir("sf0.001")
     pairs = QUERIES["postings"](spark, folder).count()
