@@ -410,8 +410,7 @@ def feature_keys(spark, sf_dir):
 @query(f"{KEYED} select key, count(distinct doc_id) as n from post join keyed using (term) group by 1")
 def hashed_postings(spark, sf_dir):
     """Postings by 16-bit key: what terms that share a key would find together."""
-    pairs = _pairs(spark, sf_dir).select(feature_key(F.col("term")).alias("key"), "doc_id").distinct()
-    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return ops.key_frequency(_docs(spark, sf_dir))
 
 
 @query(f"with {T} select term, doc_id >> 16 as bucket, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids, count(*) as n from post group by all")

@@ -26,17 +26,30 @@ FIRST_KEY, SALT = 128, "salt"
 SALTS = 16
 
 
-def feature_key(term: Column) -> Column:
-    """First 16 bits of SHA-256 of the term as a number, the term salted until that is FIRST_KEY or more."""
+def _key(term: Column) -> Column:
+    """First 16 bits of SHA-256 as a number."""
+    return F.conv(F.substring(F.sha2(term, 256), 1, 4), 16, 10).cast("int")
+
 
-    def key(x: Column) -> Column:
-        return F.conv(F.substring(F.sha2(x, 256), 1, 4), 16, 10).cast("int")
+def _salted_key(term: Column) -> Column:
+    """Key of a term whose own is below FIRST_KEY."""
 
     def again(a: Column, _: Column) -> Column:
         salted = F.when(a["key"] >= FIRST_KEY, a["term"]).otherwise(F.concat(a["term"], F.lit(SALT)))
-        return F.struct(salted.alias("term"), F.when(a["key"] >= FIRST_KEY, a["key"]).otherwise(key(salted)).alias("key"))
+        return F.struct(salted.alias("term"), F.when(a["key"] >= FIRST_KEY, a["key"]).otherwise(_key(salted)).alias("key"))
 
-    start = F.struct(term.alias("term"), key(term).alias("key"))
+    start = F.struct(term.alias("term"), _key(term).alias("key"))
     salted = F.aggregate(F.sequence(F.lit(1), F.lit(SALTS)), start, again, lambda a: a["key"])
     failed = F.raise_error(F.concat(F.lit("no key for the term "), term)).cast("int")
-    return F.when(key(term) >= FIRST_KEY, key(term)).otherwise(F.when(salted >= FIRST_KEY, salted).otherwise(failed))
+    return F.when(salted >= FIRST_KEY, salted).otherwise(failed)
+
+
+def feature_key(term: Column) -> Column:
+    """First 16 bits of SHA-256 of the term as a number, the term salted until that is FIRST_KEY or more."""
+    return F.when(_key(term) >= FIRST_KEY, _key(term)).otherwise(_salted_key(term))
+
+
+def feature_keys(terms: Column) -> Column:
+    """Array of the distinct feature keys of an array of terms; each term is hashed once."""
+    hashed = F.transform(terms, lambda t: F.struct(t.alias("term"), _key(t).alias("key")))
+    return F.array_distinct(F.transform(hashed, lambda h: F.when(h["key"] >= FIRST_KEY, h["key"]).otherwise(_salted_key(h["term"]))))

@@ -1,11 +1,14 @@
 """Queries over texts that shuffle texts and counts, not postings: the same sets, and what travels."""
 
 import random
+from collections import Counter
 
 import pytest
 from oracle import data_dir
+from pyspark.sql import functions as F
 
 from docloom.catalogue import QUERIES
+from docloom.functions.text import feature_key
 from docloom.operators import postings as ops
 
 
@@ -60,7 +63,17 @@ def test_containers_of_documents(spark):
     assert sorted(ops.document_containers(docs).collect()) == sorted(ops.containers(ops.postings(docs)).collect())
 
 
-@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0), ("runs", 0.5), ("runs_expanded", 0.5)])
+def test_key_frequency(spark):
+    """Terms of one document that share a key count once; salted ones are found too."""
+    terms = spark.range(3000).selectExpr("concat('t', id) as term").withColumn("key", feature_key(F.col("term"))).collect()
+    keys = {x.term: x.key for x in terms}
+    docs = [(k, " ".join(t for i, t in enumerate(keys) if i % 3 == k % 3)) for k in range(5)] + [(7, None), (8, " ")]
+    wanted = Counter(key for _, text in docs for key in {keys[t] for t in (text or "").split()})
+    assert max(Counter(keys.values()).values()) > 1
+    assert {x.key: x.n for x in ops.key_frequency(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == wanted
+
+
+@pytest.mark.parametrize(("name", "share"), [("container_kind", 1.0), ("runs", 0.5), ("runs_expanded", 0.5), ("hashed_postings", 0.5)])
 def test_postings_do_not_travel(spark, name, share):
     folder = data_dir("sf0.001")
     pairs = QUERIES["postings"](spark, folder).count()
