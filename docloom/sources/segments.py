@@ -1,8 +1,9 @@
 """Postings stored as segments of sorted Parquet, merged level by level.
 
-A segment is a folder `segment=<level>~<id>` with (term, rterm, bucket, doc_ids, n),
-range-partitioned and sorted by term, so that a term or prefix touches few row groups;
-a Parquet bloom filter on term spares the rest.  A list holds the ids of one bucket of
+A segment is a folder `segment=<level>~<id>` with (term, rterm, bucket, doc_ids, n).
+Its files are sorted by term, so that a term or prefix touches few pages of each; a
+Parquet bloom filter on term spares the rest.  New segments are dealt to files by hash,
+in one pass over the texts.  A list holds the ids of one bucket of
 65 536, so no row grows with the corpus.  Segments appear by one rename.  New ones are
 of level 0; once a level has `fan_in` of them, they are merged into one of the next
 level, so an id is rewritten once a level.  A merged segment lists in `_merged` those
@@ -12,12 +13,14 @@ new one, and ids never get lost or counted twice.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hadoop, note_of, publish
+from .shared import hadoop, note_of, parts, publish
 
 SCHEMA = "term string, rterm string, bucket bigint, doc_ids array<bigint>, n bigint"
 
@@ -27,16 +30,46 @@ def bucket_of(doc_id: Column) -> Column:
     return F.shiftright(doc_id, 16)
 
 
+def _listed(rows: DataFrame, ids: Column) -> DataFrame:
+    """(term, rterm, bucket, doc_ids, n), in the order of `rows`; lists are sorted and distinct."""
+    rows = rows.groupBy("term", "bucket").agg(F.array_distinct(F.sort_array(ids)).alias("doc_ids"))
+    return rows.select("term", F.reverse("term").alias("rterm"), "bucket", "doc_ids", F.size("doc_ids").cast("long").alias("n"))
+
+
 def merge_lists(rows: DataFrame) -> DataFrame:
     """One list of ids per term and bucket from many, sorted and distinct."""
-    return lists(rows.select("term", "rterm", F.explode("doc_ids").alias("doc_id")))
+    return lists(rows.select("term", F.explode("doc_ids").alias("doc_id")))
 
 
 def lists(pairs: DataFrame) -> DataFrame:
-    """(term, rterm, bucket, doc_ids, n) of postings."""
-    ids = F.array_sort(F.collect_set("doc_id"))
-    rows = pairs.groupBy("term", bucket_of(F.col("doc_id")).alias("bucket")).agg(F.first("rterm").alias("rterm"), ids.alias("doc_ids"))
-    return rows.select("term", "rterm", "bucket", "doc_ids", F.size("doc_ids").cast("long").alias("n"))
+    """(term, rterm, bucket, doc_ids, n) of postings (term, doc_id), which travel once."""
+    rows, n = pairs.select("term", bucket_of(F.col("doc_id")).alias("bucket"), "doc_id"), parts(pairs)
+    rows = rows.repartition(*([n] if n else []), "term", "bucket").sortWithinPartitions("term", "bucket")  # sorting ids in their lists costs less
+    return _listed(rows, F.collect_list("doc_id"))
+
+
+_ordered, _lock = [0, None], threading.Lock()
+
+
+@contextmanager
+def _by_order(spark: SparkSession):
+    """Groups of sorted rows are put together as they come; a hash table of lists would sort all rows again.
+
+    The setting is put back when the last of the threads that write is done.
+    """
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    with _lock:
+        if not _ordered[0]:
+            _ordered[1] = spark.conf.get(name, None)
+            spark.conf.set(name, "true")
+        _ordered[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _ordered[0] -= 1
+            if not _ordered[0]:
+                spark.conf.unset(name) if _ordered[1] is None else spark.conf.set(name, _ordered[1])
 
 
 class SegmentStore:
@@ -66,8 +99,9 @@ class SegmentStore:
         # The bloom filter takes the size that fits the terms of a file.
         options = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
         note = ("_merged", "\n".join(sorted(merged))) if merged else None
-        rows = rows.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
-        return publish(self.spark, rows, f"{self.folder}/segment={name}", f"{self.folder}/tmp", lambda w: w.options(**options), note)
+        rows = rows.sortWithinPartitions("term", "bucket")  # no work on rows in order
+        with _by_order(self.spark):
+            return publish(self.spark, rows, f"{self.folder}/segment={name}", f"{self.folder}/tmp", lambda w: w.options(**options), note)
 
     def append(self, pairs: DataFrame, name: str) -> bool:
         """Store postings (term, rterm, doc_id); False if the segment is there already."""

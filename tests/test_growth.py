@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docloom.catalogue import QUERIES
 from docloom.functions.text import feature_key
 from docloom.operators import postings as ops
+from docloom.sources import segments
+from docloom.sources.corpus import table
 
 
 def dealt(df):
@@ -78,3 +80,18 @@ def test_postings_do_not_travel(spark, name, share):
     folder = data_dir("sf0.001")
     pairs = QUERIES["postings"](spark, folder).count()
     assert dealt(QUERIES[name](spark, folder)) < share * pairs
+
+
+def test_a_segment_is_one_shuffle(spark):
+    """Postings travel once, and sorted rows aren't sorted again to be grouped."""
+    pairs = ops.postings(table(spark, data_dir("sf0.001"), "documents"))
+    with segments._by_order(spark):
+        fresh = segments.lists(pairs)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortAggregate" in plan and "ObjectHashAggregate" not in plan
+        assert dealt(fresh) == pairs.count()
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg", "false") == "false"
+    wanted = {(x.term, x.bucket): sorted(x.doc_ids) for x in ops.postings_arrays(pairs).collect()}
+    for found in (fresh,):
+        assert {(x.term, x.bucket): x.doc_ids for x in found.collect()} == wanted
+        assert all(x.n == len(x.doc_ids) and x.rterm == x.term[::-1] for x in found.collect())
