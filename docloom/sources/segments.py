@@ -3,7 +3,9 @@
 A segment is a folder `segment=<level>~<id>` with (term, rterm, bucket, doc_ids, n).
 Its files are sorted by term, so that a term or prefix touches few pages of each; a
 Parquet bloom filter on term spares the rest.  New segments are dealt to files by hash,
-in one pass over the texts.  A list holds the ids of one bucket of
+in one pass over the texts; merged ones are range-partitioned, so that a term or prefix
+touches few files, too (bounds take a second pass, which is cheap over stored lists).
+A list holds the ids of one bucket of
 65 536, so no row grows with the corpus.  Segments appear by one rename.  New ones are
 of level 0; once a level has `fan_in` of them, they are merged into one of the next
 level, so an id is rewritten once a level.  A merged segment lists in `_merged` those
@@ -37,8 +39,10 @@ def _listed(rows: DataFrame, ids: Column) -> DataFrame:
 
 
 def merge_lists(rows: DataFrame) -> DataFrame:
-    """One list of ids per term and bucket from many, sorted and distinct."""
-    return lists(rows.select("term", F.explode("doc_ids").alias("doc_id")))
+    """One list of ids per term and bucket from many; whole lists travel, once, not their ids."""
+    rows, n = rows.select("term", "bucket", "doc_ids"), parts(rows)
+    rows = rows.repartitionByRange(*([n] if n else []), "term", "bucket").sortWithinPartitions("term", "bucket")
+    return _listed(rows, F.flatten(F.collect_list("doc_ids")))
 
 
 def lists(pairs: DataFrame) -> DataFrame:

@@ -82,16 +82,21 @@ def test_postings_do_not_travel(spark, name, share):
     assert dealt(QUERIES[name](spark, folder)) < share * pairs
 
 
-def test_a_segment_is_one_shuffle(spark):
-    """Postings travel once, and sorted rows aren't sorted again to be grouped."""
+def test_a_segment_is_one_shuffle(spark, tmp_path):
+    """Postings and stored lists travel once, and sorted rows aren't sorted again to be grouped."""
     pairs = ops.postings(table(spark, data_dir("sf0.001"), "documents"))
     with segments._by_order(spark):
         fresh = segments.lists(pairs)
         plan = fresh._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "SortAggregate" in plan and "ObjectHashAggregate" not in plan
         assert dealt(fresh) == pairs.count()
+        stored = fresh.unionByName(segments.lists(pairs.where("pmod(doc_id, 2) = 0")))
+        stored.write.parquet(str(tmp_path / "l"))
+        rows = spark.read.parquet(str(tmp_path / "l"))
+        merged = segments.merge_lists(rows)
+        assert dealt(merged) == rows.count()
     assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg", "false") == "false"
     wanted = {(x.term, x.bucket): sorted(x.doc_ids) for x in ops.postings_arrays(pairs).collect()}
-    for found in (fresh,):
+    for found in (fresh, merged):
         assert {(x.term, x.bucket): x.doc_ids for x in found.collect()} == wanted
         assert all(x.n == len(x.doc_ids) and x.rterm == x.term[::-1] for x in found.collect())
