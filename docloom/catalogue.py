@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -174,8 +175,8 @@ def _store(spark, sf_dir, compacted: bool = False) -> SegmentStore:
     key = (spark.sparkContext.applicationId, sf_dir, compacted)
     if key not in _stores:
         store, pairs = SegmentStore(spark, passing_folder(spark, "segments")), _pairs(spark, sf_dir)
-        for k in range(5):
-            store.append(pairs.where(F.pmod("doc_id", F.lit(5)) == k), f"batch-{k}")
+        with ThreadPoolExecutor(5) as pool:  # a batch's last tasks leave no core idle
+            list(pool.map(lambda k: store.append(pairs.where(F.pmod("doc_id", F.lit(5)) == k), f"batch-{k}"), range(5)))
         if compacted:
             store.compact()
         _stores[key] = store

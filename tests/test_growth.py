@@ -7,6 +7,7 @@ import pytest
 from oracle import data_dir
 from pyspark.sql import functions as F
 
+from docloom import catalogue
 from docloom.catalogue import QUERIES
 from docloom.functions.text import feature_key
 from docloom.operators import postings as ops
@@ -100,3 +101,21 @@ def test_a_segment_is_one_shuffle(spark, tmp_path):
     for found in (fresh, merged):
         assert {(x.term, x.bucket): x.doc_ids for x in found.collect()} == wanted
         assert all(x.n == len(x.doc_ids) and x.rterm == x.term[::-1] for x in found.collect())
+
+
+def test_segments_of_a_store_are_written_side_by_side(spark, monkeypatch):
+    """Five batches meet: none waits for another to be written."""
+    from threading import Barrier
+
+    met, append = Barrier(5, timeout=60), segments.SegmentStore.append
+
+    def late(store, *args):
+        met.wait()
+        return append(store, *args)
+
+    monkeypatch.setattr(segments.SegmentStore, "append", late)
+    monkeypatch.setattr(catalogue, "_stores", {})
+    store = catalogue._store(spark, data_dir("sf0.001"))
+    assert len(store.segments()) == 5
+    assert store.postings().count() == QUERIES["postings"](spark, data_dir("sf0.001")).count()
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg", "false") == "false"
